@@ -53,14 +53,14 @@ def measured(df: DataFrame, stop_words: str = STOP_WORDS) -> DataFrame:
     """Adds the counts to a frame that has a non-null string column ``_text``."""
     t = F.col("_text")
     df = df.withColumn("_words", words_of(t)).withColumn("n_words", F.size("_words").cast("long"))
-    stop = sorted(set(stop_words.split()))
+    stop = sorted({v for w in stop_words.split() for v in (w, w.capitalize(), w.upper())})
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     df = df.withColumns(
         {
-            "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"),
             "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("long"),
+            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
             "_lines": lines,
             "_h": F.transform("_words", lambda w: F.xxhash64(w)),
         }
@@ -71,18 +71,24 @@ def measured(df: DataFrame, stop_words: str = STOP_WORDS) -> DataFrame:
     windows = F.greatest(F.col("n_words") - 7, F.lit(0)).cast("int")
     df = df.withColumn("_h", F.slice("_h", 1, windows))
     repeated = F.size(F.array_distinct("_h")) < F.size("_h")
-    # Only documents in which some window's hash occurs twice sort their windows.
-    df = df.withColumn("_s", F.when(repeated, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    gram = lambda x: F.slice("_words", x["i"] + 1, 8)
-    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (gram(x) == gram(y)), F.lit(False))
-    df = df.withColumn("_s", F.array_sort(F.transform(F.filter("_s", lambda x, j: same(x, F.get("_s", j - 1)) | same(x, F.get("_s", j + 1))), lambda x: x["i"].cast("long"))))
-    covered = F.aggregate(
-        "_s",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda a, i: F.struct((a["n"] + 8 - F.greatest(F.lit(0).cast("long"), a["end"] - i)).alias("n"), (i + 8).alias("end")),
-        lambda a: a["n"],
-    )
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_words", "_h", "_s")
+    # Only documents in which some window's hash occurs twice sort their windows, as hash bits above position bits.
+    bits = F.length(F.bin("n_words"))
+    df = df.withColumn("_s", F.when(repeated, F.sort_array(F.transform("_h", lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))))))
+    top = lambda x: F.call_function("shiftright", x, bits)
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+    gram = lambda i: F.slice("_words", i.cast("int") + 1, 8)
+    near = lambda x, j: F.coalesce(top(x) == top(F.get("_s", j)), F.lit(False))
+    df = df.withColumn("_f", F.filter("_s", lambda x, j: near(x, j - 1) | near(x, j + 1)))
+    following = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+    clash = F.exists(F.zip_with("_f", following("_f"), lambda x, y: F.coalesce((top(x) == top(y)) & (gram(place(x)) != gram(place(y))), F.lit(False))), lambda x: x)
+    # Should hash bits agree where words differ, the windows' words themselves are sorted.
+    df = df.withColumn("_g", F.when(F.size("_f") > 0, F.when(clash, F.array_sort(F.transform("_h", lambda _, i: F.struct(gram(i).alias("g"), i.cast("long").alias("i")))))))
+    same = lambda x, j: F.coalesce(x["g"] == F.get("_g", j)["g"], F.lit(False))
+    exact = F.transform(F.filter("_g", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])
+    df = df.withColumn("_i", F.sort_array(F.coalesce(exact, F.transform("_f", place))))
+    zero = F.lit(0).cast("long")
+    covered = F.aggregate(F.zip_with("_i", following("_i"), lambda x, y: F.least(F.lit(8).cast("long"), F.coalesce(y - x, F.lit(8).cast("long")))), zero, lambda n, x: n + x)
+    return df.withColumn("n_repeat_words", F.coalesce(covered, zero)).drop("_words", "_h", "_s", "_f", "_g", "_i")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:

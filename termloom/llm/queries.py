@@ -61,18 +61,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
+_STOP = ", ".join(f"'{w}'" for w in sorted({v for w in quality.STOP_WORDS.split() for v in (w, w.capitalize(), w.upper())}))
 
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT r, i, list_aggregate(w[i:i+7], 'string_agg', ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d)),
+ws AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, i, gram FROM (SELECT r, i, string_agg(x, ' ') OVER k AS gram, count(*) OVER k AS n FROM ws WINDOW k AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1),
 rep AS (SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
 c AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS n_upper,
-    len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words,
+    len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop_words,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
     coalesce(rep.n, 0) AS n_repeat_words
   FROM d LEFT JOIN rep USING (r)),
