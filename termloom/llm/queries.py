@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, pii, quality, urlfilter, warc, wordpiece
+from . import jaccard, media, mixing, packing, pii, quality, substring, urlfilter, warc, wordpiece
 from .common import stored, table
 
 #: Where the public tokenizers' vocabularies lie; None: the installed public_tokenizers package tells.
@@ -48,6 +48,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("th")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(stored(media.encode_texts(table(spark, sf_dir, "documents")), "media"))
 
@@ -57,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_token_counts, op5_packing, op6_warc, op8_media, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_token_counts, op5_packing, op6_warc, op7_substring_dedup, op8_media, op9_jaccard_join, op10_url_filter)}
 
 
 SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
