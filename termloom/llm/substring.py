@@ -1,14 +1,14 @@
 """Removal of repeated word windows by a log-structured fingerprint index.
 
 A run holds, for each bucket (leading bits of the hash), the sorted hashes of windows of ``width`` words,
-each with a check byte and the smallest id among its documents. Every map task turns its documents into one
+each with the smallest id among its documents. Every map task turns its documents into one
 immutable run; a window that occurs in several documents of a task is sent once, and its later documents
 are told at once. Per bucket, the new runs and the stored runs of earlier batches are merged: a window is
 repeated if an equal one starts in a document with a smaller id. What is told goes back to the documents,
 where it is verified against the window at that place. :class:`FingerprintIndex` keeps stored runs and
 compacts them when there are more than ``fanout``.
 
-Fingerprints have 72 bits, 64 sorted and stored as differences; equality is that of fingerprints.
+Fingerprints have 64 bits, sorted and stored as differences; equality is that of fingerprints.
 
 Defined results: a null text has no words; a null id is left as it is and removes nothing; rows that share
 an id don't remove each other's words; a very long text is one text among the others of its task; an empty
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
-from .hashing import mix, window_hashes, word_hashes
+from .hashing import window_hashes, word_hashes
 
 WIDTH = 13
 #: Words of a task's run at most (a text is never split).
-RUN_WORDS = 6_000_000
+RUN_WORDS = 2_000_000
 RUNS = "bucket int, kind int, n long, blob binary, id long, claims array<long>"
 _CODEC = pa.Codec("zstd", compression_level=1)
 
@@ -44,23 +44,18 @@ def unplanes(raw: memoryview, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8")[:, 0]
 
 
-def packed(h: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
-    """A run's bucket: sorted hashes as differences, check bytes, ids less the least, places."""
+def packed(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """A run's bucket: sorted hashes as differences, ids less the least, places."""
     low = int(doc.min())
-    body = planes(np.diff(h, prepend=np.uint64(0))) + check.tobytes() + planes((doc - low).astype(np.uint64)) + planes(place.astype(np.uint64))
+    body = planes(np.diff(h, prepend=np.uint64(0))) + planes((doc - low).astype(np.uint64)) + planes(place.astype(np.uint64))
     return low.to_bytes(8, "little", signed=True) + len(body).to_bytes(8, "little") + _CODEC.compress(body, asbytes=True)
 
 
-def unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = int.from_bytes(blob[:8], "little", signed=True)
     body = memoryview(_CODEC.decompress(blob[16:], int.from_bytes(blob[8:16], "little"), asbytes=True))
     h = np.cumsum(unplanes(body, n), dtype=np.uint64)
-    return h, np.frombuffer(body[8 * n : 9 * n], np.uint8), unplanes(body[9 * n :], n).astype(np.int64) + low, unplanes(body[17 * n :], n).astype(np.int64)
-
-
-def check_byte(h: np.ndarray, words: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """Eight bits that the hash does not determine: from the window's first, middle and last words."""
-    return (mix(words[start] * np.uint64(3) + words[start + width // 2] * np.uint64(5) + words[start + width - 1] * np.uint64(7)) >> np.uint64(56)).astype(np.uint8)
+    return h, unplanes(body[8 * n :], n).astype(np.int64) + low, unplanes(body[16 * n :], n).astype(np.int64)
 
 
 def claim(place: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -72,14 +67,12 @@ def _runs(ids: np.ndarray, words: np.ndarray, counts: np.ndarray, width: int, bi
     h, size = window_hashes(words, counts, width)
     if not len(h):
         return
-    doc, first = np.repeat(ids, size), np.repeat(np.cumsum(size) - size, size)
-    place = np.arange(len(h)) - first
-    start = np.repeat(np.cumsum(counts) - counts, size) + place
-    check = check_byte(h, words, start, width)
+    doc = np.repeat(ids, size)
+    place = (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
     order = np.argsort(h, kind="stable")
     s, d = h[order], doc[order]
     new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (check[order[1:]] != check[order[:-1]])
+    new[1:] = s[1:] != s[:-1]
     group = np.cumsum(new) - 1
     least = np.minimum.reduceat(d, np.flatnonzero(new))[group]
     later = d > least
@@ -95,7 +88,7 @@ def _runs(ids: np.ndarray, words: np.ndarray, counts: np.ndarray, width: int, bi
     edges = np.append(edges, len(s))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         o = order[edges[b] : edges[b + 1]]
-        yield {"bucket": b, "kind": 0, "n": len(o), "blob": packed(h[o], check[o], doc[o], place[o]), "id": None, "claims": None}
+        yield {"bucket": b, "kind": 0, "n": len(o), "blob": packed(h[o], doc[o], place[o]), "id": None, "claims": None}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -136,16 +129,16 @@ def runs_of(docs: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
 
 def _merged(t: pa.Table) -> tuple[np.ndarray, ...]:
     runs = [unpacked(b, n) for b, n in zip(t.column("blob").to_pylist(), t.column("n").to_pylist(), strict=True) if b is not None]
-    h, check, doc, place = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    h, doc, place = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = np.argsort(h, kind="stable")
-    return h[order], check[order], doc[order], place[order]
+    return h[order], doc[order], place[order]
 
 
 def tell(runs: DataFrame) -> DataFrame:
     """Merges all runs by bucket; (id, claims) for the windows that a document with a smaller id has."""
 
     def bucket(t: pa.Table) -> pa.Table:
-        h, check, doc, place = _merged(t)
+        h, doc, place = _merged(t)
         ids, claims = [], []
         for i, c in zip(t.column("id").to_pylist(), t.column("claims").to_pylist(), strict=True):
             if i is not None:
@@ -154,12 +147,12 @@ def tell(runs: DataFrame) -> DataFrame:
         again = np.zeros(len(h), bool)
         again[1:] = h[1:] == h[:-1]
         again[:-1] |= again[1:]
-        h, check, doc, place = h[again], check[again], doc[again], place[again]
+        h, doc, place = h[again], doc[again], place[again]
         if len(h):
-            order = np.lexsort((doc, check, h))
-            h, check, doc, place = h[order], check[order], doc[order], place[order]
+            order = np.lexsort((doc, h))
+            h, doc, place = h[order], doc[order], place[order]
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+            new[1:] = h[1:] != h[:-1]
             later = (doc > doc[new][np.cumsum(new) - 1]) & (place >= 0)  # stored runs have no places: nothing to tell
             doc, c = doc[later], claim(place[later], h[later])
             order = np.argsort(doc, kind="stable")
@@ -176,15 +169,15 @@ def compacted(runs: DataFrame) -> DataFrame:
     """One run per bucket with the least id of each fingerprint."""
 
     def bucket(t: pa.Table) -> pa.Table:
-        h, check, doc, _ = _merged(t)
+        h, doc, _ = _merged(t)
         if not len(h):
             return pa.Table.from_batches([_batch([])])
-        order = np.lexsort((doc, check, h))
-        h, check, doc = h[order], check[order], doc[order]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-        h, check, doc = h[new], check[new], doc[new]
-        return pa.Table.from_batches([_batch([{"bucket": t.column("bucket")[0].as_py(), "kind": 0, "n": len(h), "blob": packed(h, check, doc, np.full(len(h), -1)), "id": None, "claims": None}])])
+        new[1:] = h[1:] != h[:-1]
+        h, doc = h[new], doc[new]
+        return pa.Table.from_batches([_batch([{"bucket": t.column("bucket")[0].as_py(), "kind": 0, "n": len(h), "blob": packed(h, doc, np.full(len(h), -1)), "id": None, "claims": None}])])
 
     return runs.filter("kind = 0").groupBy("bucket").applyInArrow(bucket, RUNS)
 
