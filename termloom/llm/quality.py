@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of, words_of
+from .common import SPACE, stored, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -120,4 +120,5 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their columns unchanged."""
     names = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), text_of(docs).alias("_text"))
-    return verdicts(measured(packed), rules).filter("kept").select("_row.*")
+    # Stored first: a filter on kept would be pushed below the projections and repeat their expressions at every level.
+    return stored(verdicts(measured(packed), rules).select("_row", "kept"), "judged").filter("kept").select("_row.*")
