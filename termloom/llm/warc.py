@@ -36,9 +36,9 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     payload = F.encode(F.coalesce(pages[payload_col], F.lit("")), "UTF-8")
     p = pages.select(pages[id_col].cast("long").alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), payload.alias("payload"))
     facts = p.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
-    facts = stored(facts, "warc-facts")
-    holders = facts.groupBy("sha256").agg(F.max("id").alias("holder"))
-    facts = facts.join(holders, "sha256").withColumn("is_response", (F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("holder")))
+    # Copies are combined before the one shuffle of payloads.
+    payloads = stored(p.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.max("id").alias("holder"), F.first("payload").alias("payload")), "warc-payloads")
+    facts = facts.join(payloads.select("sha256", "holder"), "sha256").withColumn("is_response", (F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("holder")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     header = F.concat(
@@ -52,21 +52,19 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
         line("Content-Length", F.when(F.col("is_response"), F.col("bytes")).otherwise(0).cast("string")),
     )
     headers = stored(facts.select(F.col("id").alias("record_id"), "sha256", header.alias("header")), "warc-headers")
-    # One holder row of a payload brings it in; equal rows of one id are told apart by nothing, so any will do.
-    keys = holders.select(F.col("holder").alias("id"), "sha256")
-    own = p.select("id", "payload", F.sha2("payload", 256).alias("sha256"))
-    held = own.join(keys, own["id"].eqNullSafe(keys["id"]) & (own["sha256"] == keys["sha256"]), "left_semi")
-    payloads = stored(held.dropDuplicates(["sha256"]).select("sha256", "payload"), "warc-payloads")
+    payloads = payloads.select("sha256", "payload")
     return headers, payloads
 
 
 def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """One row per record: record_id, header, the full payload (verified), fields that the header holds."""
-    df = headers.join(payloads, "sha256", "left")
+    # Each stored payload is measured once, below the join; only what a caller selects goes through it.
+    measured = payloads.select("sha256", "payload", F.sha2("payload", 256).alias("_sha256"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    df = headers.join(measured, "sha256", "left")
     field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    df = df.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_of_hex(F.sha1("payload")), "record_type": field("WARC-Type"), "refers": F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]*)>", 1)})
-    sound = F.col("payload").isNotNull() & (F.sha2("payload", 256) == F.col("sha256")) & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == field("WARC-Payload-Digest")) & (F.col("payload_bytes").cast("string") == field("X-Payload-Length"))
-    df = df.withColumn("payload_digest", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload does not match its record"))))
+    df = df.withColumns({"record_type": field("WARC-Type"), "refers": F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]*)>", 1)})
+    sound = (F.col("_sha256") == F.col("sha256")) & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == field("WARC-Payload-Digest")) & (F.col("payload_bytes").cast("string") == field("X-Payload-Length"))
+    df = df.withColumn("payload_digest", F.when(F.coalesce(sound, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload does not match its record"))))
     return df.select("record_id", "header", "payload", "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers") != "", F.col("refers").cast("long")).alias("refers_to"))
 
 
