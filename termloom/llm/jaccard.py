@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import release, stored, text_of
 from .hashing import BASES, _span_hash, mix, window_hashes, word_hashes
 
 #: Sets of a region that one task takes at most, and sets of a tile beyond it.
@@ -281,12 +281,15 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, region_size: int =
     bound = Bound(percent)
     rows = stored(set_keys(docs, ngram, bound).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
-    # Ids are scattered, so that the least and the greatest of a key's are arbitrary members.
-    classes = stored(classes.withColumn("id", F.xxhash64("rep", F.lit(5))), "classes")
-    members = rows.select(F.col("row").alias("rep"), "doc_id", "th", "keys").join(classes.select("rep", "id"), "rep").select("id", F.col("doc_id").alias("rep_doc"), "th", F.explode("keys").alias("key"))
+    # A class goes by the row that stands for it; few bytes of these numbers differ, so they shuffle small.
+    classes = stored(classes.withColumn("id", F.col("rep")), "classes")
+    members = rows.select(F.col("row").alias("rep"), "keys").join(classes.select("rep", "id"), "rep").select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     shared = stored(members.join(shared, "key"), "shared")
-    wanted = stored(shared.select("id", "rep_doc", "th").distinct(), "wanted")
+    del members
+    release(docs.sparkSession)
+    wanted = shared.select("id").distinct().join(rows.select(F.col("row").alias("id"), F.col("doc_id").alias("rep_doc"), "th"), "id")
+    wanted = stored(wanted, "wanted")
     sets = stored(sets_of(docs, wanted, ngram), "hashes")
     opened = shared.select("key", "id", "low", "high")
     edges = None
