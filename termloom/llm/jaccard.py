@@ -5,10 +5,10 @@ which is a metric. Equal sets form a class and go on as one.
 
 Regions. Over random text the distance to any pivot is almost always near 1, so that Voronoi cells of a few
 global pivots would copy every set into every cell. So cells are opened around the pivots that a set can
-be near at all, which is exact: two linked sets differ in at most D shingles, D known from their sizes. Let
-hashes deal shingles into K = D + 2 + Z parts; then at least 2 + Z parts are equal. A set leaves out its small
-parts if there are at most Z + 1 of them, so linked sets still share a key (size level, part, content). Sets that
-share keys form a region; chains of shared keys are its outer bound.
+be near at all, which is exact: linked sets have percent of the larger one in common, so under any one order of
+all shingles they share one of their first n - ceil(percent * n / 100) + 1. The order goes from rare to
+frequent, by a table of counts over all documents, so that passages which many documents quote open no
+regions. Sets that share such keys form a region; chains of shared keys are its outer bound.
 
 Inside a region, pivots are chosen farthest-first, each set's distances to them computed, and sets within
 the bound of a pivot join it at once. What is left is compared only inside the windows that the triangle
@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, stored, text_of
+from .frequency import bucket_of, frequencies
 from .hashing import BASES, _span_hash, mix, window_hashes, word_hashes
 
 #: Sets of a region that one task takes at most, and sets of a tile beyond it.
 REGION = 3000
-#: Shingles of a part that count as few, and farthest-first pivots of a region.
-SMALL, PIVOTS = 2, 12
+#: Farthest-first pivots of a region.
+PIVOTS = 12
 
 
 def shingles(text: bytes, ngram: int) -> np.ndarray:
@@ -50,7 +51,7 @@ def shingles(text: bytes, ngram: int) -> np.ndarray:
 
 
 class Bound:
-    """Which sizes may link, and how sets are cut into parts."""
+    """Which sizes may link."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
@@ -59,48 +60,21 @@ class Bound:
     def links(self, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * common >= self.percent * (a + b - common)
 
-    def level(self, n: int) -> int:
-        """Sizes grow by less than 1 / ratio inside a level, so that linked sizes are at most one level apart."""
-        k = int(np.floor(np.log(n) / -np.log(self.ratio)))
-        while self.first(k + 1) <= n:
-            k += 1
-        while self.first(k) > n:
-            k -= 1
-        return k
-
-    def first(self, level: int) -> int:
-        """The least size of a level."""
-        return int(np.ceil(self.ratio**-level - 1e-9))
-
-    def parts(self, level: int) -> tuple[int, int]:
-        """(K, Z) for pairs whose smaller set is of this level."""
-        n = self.first(level + 1) - 1
-        m = 100 * n // self.percent
-        # Common shingles are at least percent / (100 + percent) of both sizes.
-        most = max(0, (n + m) - 2 * -(-(n + m) * self.percent // (100 + self.percent)))
-        spare = most // 8
-        return most + 2 + spare, spare
-
-
-def keys_of(s: np.ndarray, bound: Bound) -> np.ndarray:
-    """Region keys of a set of sorted hashes."""
-    out = []
-    level = bound.level(len(s))
-    mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D))
-    for at in (level, level - 1) if level else (level,):
-        k, spare = bound.parts(at)
-        part = (mixed % np.uint64(k)).astype(np.int64)
-        size = np.bincount(part, minlength=k)
-        total = np.zeros(k, np.uint64)
-        np.add.at(total, part, mix(s))
-        key = mix(total + mix(np.arange(k, dtype=np.uint64) + np.uint64(at * 1_000_003 + 17)))
-        few = size <= SMALL
-        out.append(key[~few] if few.sum() <= spare + 1 else key)
-    return np.concatenate(out)
+    def lead(self, n: int) -> int:
+        """In any order of the shingles, linked sets share one of so many first ones."""
+        return n + (-n * self.percent // 100) + 1
+
+
+def keys_of(s: np.ndarray, bound: Bound, levels: np.ndarray) -> np.ndarray:
+    """Region keys of a set of hashes: its rarest shingles."""
+    mixed = mix(s)
+    return mixed[np.lexsort((mixed, levels[bucket_of(mixed)]))[: bound.lead(len(s))]]
 
 
 def set_keys(docs: DataFrame, ngram: int, bound: Bound) -> DataFrame:
     """doc_id, th (hash of the text), n, s1 and s2 (128 bits of the set), keys."""
+    # One byte a bucket: 16 MB whatever the input.
+    levels = docs.sparkSession.sparkContext.broadcast(frequencies(docs, ngram))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -112,7 +86,7 @@ def set_keys(docs: DataFrame, ngram: int, bound: Bound) -> DataFrame:
                     n.append(len(s))
                     s1.append(int((mix(s).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64)))
                     s2.append(int(mix(s * np.uint64(BASES[1]) + np.uint64(9)).sum(dtype=np.uint64).view(np.int64)))
-                    keys.append(keys_of(s, bound).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    keys.append(keys_of(s, bound, levels.value).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "s1", "s2", "keys"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("th", F.xxhash64("text"))
