@@ -36,6 +36,8 @@ from .hashing import BASES, _span_hash, mix, window_hashes, word_hashes
 
 #: Sets of a region that one task takes at most, and sets of a tile beyond it.
 REGION = 3000
+#: Edges that a task of a components step holds.
+TASK_EDGES = 1 << 20
 #: Farthest-first pivots of a region.
 PIVOTS = 12
 
@@ -112,14 +114,48 @@ def sets_of(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     return hit.mapInArrow(batches, "id long, doc_id long, hashes binary").dropDuplicates(["id"]).select("id", "hashes")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) for the ids of the edges that are not the least of their component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        # Roots hang on to smaller ones, then all point to their root.
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root != root[root]).any():
+            root = root[root]
+    some = root != np.arange(len(ids))
+    return ids[some], ids[root[some]]
+
+
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """The edges of each task, without a shuffle, as stars around the least id that they reach there."""
+
+    def stars(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in it]
+        if got:
+            a, b = forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(stars, "a long, b long")
+
+
+def components(edges: DataFrame, name: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, root) for every id of the edges (a, b): root is the least id that it reaches.
 
-    Large-star and small-star steps until nothing changes; each is written to the shared folder.
+    Tasks of some ``task_edges`` edges contract what they hold; where that is more than one, large-star and
+    small-star steps follow, until nothing changes. Each step is written to the shared folder.
     """
-    e = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    before = None
+    e, before = stored(edges.filter("a != b").select("a", "b"), f"{name}-edges"), None
     while True:
+        tasks = max(1, -(-e.count() // task_edges))
+        e = stored(_contracted(e, tasks), f"{name}-edges")
+        if tasks == 1:
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -268,7 +304,7 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, region_size: int =
     opened = shared.select("key", "id", "low", "high")
     edges = None
     for turn in ("low", "high", None):
-        regions = components(opened.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(opened.select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct(), "region")
+        regions = components(opened.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")), "region")
         sizes = regions.groupBy("root").agg(F.count("*").alias("n"))
         regions = stored(regions.join(sizes, "root"), "regions")
         inside = regions.filter(F.col("n") <= region_size)

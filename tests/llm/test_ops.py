@@ -182,6 +182,28 @@ def test_jaccard(docs, empty, ngram, percent, size):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("task_edges", [1 << 20, 20])
+def test_components(spark, task_edges):
+    r = random.Random(3)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)] + [(300, i) for i in range(301, 330)] * 2
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(4), "test", task_edges).collect()
+    assert {r.id: r.root for r in got} == {i: root[i] for e in edges if e[0] != e[1] for i in e}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long"), "test", task_edges).count() == 0
+
+
+def test_frequencies(spark, docs, empty):
+    from termloom.llm import frequency
+    from termloom.llm.hashing import mix
+
+    table = frequency.frequencies(docs.repartition(130), 3)
+    common = jaccard.shingles(b"the of the of", 3)
+    assert (table[frequency.bucket_of(mix(common))] > 8 * 10).all() and not frequency.frequencies(empty, 3).any()
+
+
 def test_jaccard_stage(docs, empty):
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == len({r.component_id for r in jaccard.join(docs, 5, 80).collect()})
