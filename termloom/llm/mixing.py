@@ -111,7 +111,8 @@ def _select(sized: DataFrame, mixture: Mixture) -> DataFrame:
     df = df.withColumn("range", F.expr("cast(shiftrightunsigned(place, 33) * ranges div 2147483648 as bigint)"))
     sums = df.groupBy(*keys, "rest", "range").agg(F.sum("n_tokens").alias("own"))
     low = F.coalesce(F.sum("own").over(W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("low", low).filter("low <= rest and rest < low + own").select(*keys, F.col("range").alias("end_range"), "low")
+    # One row a leaf, of a size that Spark knows: the rows are not dealt by leaf to meet it.
+    ends = stored(sums.withColumn("low", low).filter("low <= rest and rest < low + own").select(*keys, F.col("range").alias("end_range"), "low"), "mix-ends")
     df = df.join(ends, keys).withColumn("_part", F.when(F.col("range") < F.col("end_range"), F.col("n_tokens")).when(F.col("range") > F.col("end_range"), F.lit(0)))
     order = W.partitionBy(*keys).orderBy(F.shiftrightunsigned("place", 33), "place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     last = df.filter("_part is null").withColumn("_part", F.greatest(F.least("n_tokens", F.col("rest") - F.col("low") - F.coalesce(F.sum("n_tokens").over(order), F.lit(0))), F.lit(0)).cast("long"))
