@@ -294,8 +294,10 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, region_size: int =
     # A class goes by the row that stands for it; few bytes of these numbers differ, so they shuffle small.
     classes = stored(classes.withColumn("id", F.col("rep")), "classes")
     members = rows.select(F.col("row").alias("rep"), "keys").join(classes.select("rep", "id"), "rep").select("id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    shared = stored(members.join(shared, "key"), "shared")
+    # The keys' shuffle is gone from the disks before their members shuffle to meet them.
+    ends = stored(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "shared-keys")
+    release(docs.sparkSession)
+    shared = stored(members.join(ends, "key"), "shared")
     del members
     release(docs.sparkSession)
     wanted = shared.select("id").distinct().join(rows.select(F.col("row").alias("id"), F.col("doc_id").alias("rep_doc"), "th"), "id")
@@ -344,10 +346,28 @@ def _tiled(regions: DataFrame, opened: DataFrame, sets: DataFrame, bound: Bound,
 
 
 def keep_first(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of each component, once; columns unchanged. Documents without words stay."""
-    j = join(docs, ngram, percent)
-    kept = j.filter("n_shingles = 0 or doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("th"))
-    names = docs.columns
-    marked = docs.withColumn("_th", F.xxhash64(text_of(docs)))
-    out = marked.join(kept.select(F.col("doc_id").alias("_id"), F.col("th").alias("_h")), (docs["doc_id"].cast("long") == F.col("_id")) & (F.col("_th") == F.col("_h")))
-    return out.select(*[docs[c] for c in names]).dropDuplicates(["doc_id"])
+    """The documents with the smallest id of each component, once; columns unchanged. Documents without words stay.
+
+    Of rows with one id and several texts, the one with the smallest text hash stays. Documents without an id
+    stay once a text, unless they are linked with one that has an id.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    # Names of the keys that no column of docs has.
+    k1, k2 = (max([*names, ""], key=len) + end for end in ("_key", "_hash"))
+    j = join(docs, ngram, percent).withColumn("stays", F.expr("n_shingles = 0 or doc_id <=> component_id"))
+    texts = j.groupBy("doc_id", "th").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
+    first = texts.filter("stays").groupBy("doc_id").agg(F.min("th").alias("first")).withColumnRenamed("doc_id", "_id")
+    verdicts = texts.join(first, F.col("doc_id") == F.col("_id"), "left").select(F.col("doc_id").alias(k1), F.col("th").alias(k2), F.expr("stays and (doc_id is null or th = first)").alias("keep"), "copies")
+    verdicts = stored(verdicts, "verdicts")
+    # What goes is the smaller part, and of a size that Spark knows: below its threshold, no text is shuffled.
+    gone = stored(verdicts.filter("not keep").select(k1, k2), "gone")
+    release(spark)
+    doc_id, text_hash = docs["doc_id"].cast("long"), F.xxhash64(text_of(docs))
+    same = lambda t: doc_id.eqNullSafe(t[k1]) & (text_hash == t[k2])
+    kept = docs.join(gone, same(gone), "left_anti").select(*[docs[c] for c in names])
+    repeated = verdicts.filter("keep and copies > 1").select(k1, k2)
+    if repeated.isEmpty():
+        return kept
+    repeated = stored(repeated, "repeated")
+    once = docs.join(repeated, same(repeated)).dropDuplicates([k1, k2]).select(*names)
+    return kept.join(repeated, same(repeated), "left_anti").select(*names).unionByName(once)
