@@ -45,7 +45,6 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
                 ids = bpe.encode(part.column("text").cast(pa.binary()).to_pylist())
                 raw = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(raw, pa.binary()), pa.array([int(kind[2])] * len(raw), pa.int32())], names=["doc_id", "source", "n", "ids", "width"])
-        bpe.clear()  # an idle worker keeps no words
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["source"], F.lit("")).alias("source"), text_of(docs).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, source string, n long, ids binary, width int")

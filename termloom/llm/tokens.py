@@ -22,7 +22,7 @@ _LETTERS, _DIGITS = ("".join(re.escape(c) for c in map(chr, range(0x21, 0x180))
 #: The tokenizer's pattern for words that PLAIN takes.
 PIECES = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 #: Words remembered per worker; then the table starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
 
 
 def byte_letters() -> dict[int, str]:

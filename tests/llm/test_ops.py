@@ -210,6 +210,14 @@ def test_jaccard_stage(docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_stage_ids(spark):
+    """Repeated rows, repeated ids, null ids and clashing names."""
+    long, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "wvz")
+    rows = [(1, long, "a"), (2, long + " tail", "b"), (3, long, "c"), (4, None, "d"), (5, "", "e"), (6, other, "f"), (6, other, "f"), (7, third, "g"), (7, third + " x", "g"), (8, other, "h"), (None, long, "i"), (None, third.upper() + " q r s t u v w x y z a b c d e f g h", "j"), (None, None, "k")]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, _id string"))
+    assert kept.columns == ["doc_id", "text", "_id"] and sorted(r[2] for r in kept.collect()) == ["a", "d", "e", "f", "g", "j", "k"]
+
+
 def test_urls(spark):
     urls = [None, "x", "http://a.COM/en/1", "http://com/en/", "https://t.example.com/en/7?x#y", "http://nexample.com/en/7", "http://example.net/de/81", "http://net/de", "ftp://example.org:80/es/", "http://", "http://a.org/es/q#/x"]
     p = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(3, urls[3], "r")], "page_id long, url string, rule string")
