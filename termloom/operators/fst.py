@@ -44,7 +44,7 @@ class Strings:
 
 def potentials(entries: DataFrame, algebra=Numbers) -> DataFrame:
     """prefix, potential. entries: unique (term, output)."""
-    p = prefixes(entries, "term", 1 << 20).groupBy("prefix").agg(F.min("output").alias("low"), F.max("output").alias("high"))
+    p = prefixes(entries, "term").groupBy("prefix").agg(F.min("output").alias("low"), F.max("output").alias("high"))
     return p.select("prefix", algebra.common(F.col("low"), F.col("high")).alias("potential"))
 
 

@@ -34,10 +34,9 @@ def floor_lookup(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     return t.join(b, (t["prefix"] == b["p"]) & (b["label"] <= wanted), "left").groupBy("prefix", "target_label").agg(F.max(F.struct("label", "entries")).alias("m")).select("prefix", "target_label", F.col("m.label").alias("label"), F.col("m.entries").alias("entries"))
 
 
-def prefixes(keys: DataFrame, key: str = "term", longest: int = 64) -> DataFrame:
-    """key, prefix, depth for every non-empty prefix up to a length."""
-    n = F.least(F.length(key), F.lit(longest))
-    return keys.filter(F.length(key) > 0).withColumn("depth", F.explode(F.sequence(F.lit(1), n))).withColumn("prefix", F.left(key, F.col("depth")))
+def prefixes(keys: DataFrame, key: str = "term") -> DataFrame:
+    """key, prefix, depth for every non-empty prefix."""
+    return keys.filter(F.length(key) > 0).withColumn("depth", F.explode(F.sequence(F.lit(1), F.length(key)))).withColumn("prefix", F.left(key, F.col("depth")))
 
 
 def match_key(queries: DataFrame, dictionary: DataFrame, key: str = "query") -> DataFrame:

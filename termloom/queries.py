@@ -199,7 +199,7 @@ _PRE = f"{TOK}, pre AS (SELECT term, total_term_freq AS output, unnest(range(1,
 
 @query(f"WITH {_PRE} SELECT DISTINCT left(prefix, length(prefix)::INT - 1) AS node, right(prefix, 1) AS label FROM pot")
 def trie_edges(spark, d):
-    p = lookup.prefixes(_dict(spark, d), "term", 1 << 20).select("prefix").distinct()
+    p = lookup.prefixes(_dict(spark, d), "term").select("prefix").distinct()
     return p.select(F.left("prefix", F.length("prefix") - 1).alias("node"), F.right("prefix", F.lit(1)).alias("label"))
 
 

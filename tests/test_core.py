@@ -55,6 +55,21 @@ def test_longest_path_and_accept(spark):
     assert accepted["c"] is None and accepted["ca"] == 5
 
 
+def test_long_keys_match_whole(spark):
+    """Keys and paths of 64, 65 and 300 characters, with shorter keys on the way."""
+    keys = {"a": 1, "a" * 64: 2, "a" * 65: 3, "a" * 64 + "b" * 236: 4}
+    e = spark.createDataFrame([*keys.items()], "term string, output long")
+    words = ["a" * 64, "a" * 65, "a" * 66, "a" * 64 + "b" * 235, "a" * 64 + "b" * 236, "a" * 64 + "b" * 237, "x"]
+    queries = spark.createDataFrame([(w,) for w in words], "query string")
+    matched = {r.query: (r.match, r.output) for r in lookup.match_key(queries, e).collect()}
+    paths = {r.query: (r.path_length, r.output) for r in fst.match_path(queries, e).collect()}
+    for w in words:
+        best = max((k for k in keys if w.startswith(k)), key=len, default=None)
+        assert matched[w] == (best, keys.get(best))
+        n = max((i for i in range(len(w) + 1) if any(k.startswith(w[:i]) for k in keys)), default=0)
+        assert paths[w] == (n, keys.get(w[:n], min(v for k, v in keys.items() if k.startswith(w[:n]))) if n else 0)
+
+
 def test_arcs_sum_to_outputs(spark):
     r = random.Random(2)
     keys = {"".join(r.choice("abc") for _ in range(r.randint(1, 6))): r.randint(0, 50) for _ in range(80)}
