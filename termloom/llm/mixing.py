@@ -8,7 +8,8 @@ capacity is the sum of its children's, so this has happened before its budget re
 numbers, in integer arithmetic; rounding leaves less than one token per child.
 
 A leaf with t tokens and a budget of q * t + r takes all its documents q times, and in epoch q the token
-prefix of length r of its documents in the order of a seeded hash of (epoch, id). Prefix sums go over hash
+prefix of length r of its documents in the order of a seeded hash of (epoch, id), or of (epoch, text) where
+there is no id. Prefix sums go over hash
 ranges first; only the range in which a prefix ends is ordered. So no task holds a leaf.
 
 Defined results: null keys are leaves of their own name ""; a text without words has no tokens and is not
@@ -92,47 +93,56 @@ def leaf_budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     return at.withColumnRenamed("budget", "take")
 
 
-def select(docs: DataFrame, mixture: Mixture = MIXTURE, id_col: str = "doc_id") -> DataFrame:
-    """One row per selected document and epoch: doc_id, domain, lang, source, epoch, n_tokens, take_tokens (fewer where a prefix ends)."""
+def select(docs: DataFrame, mixture: Mixture = MIXTURE, id_col: str = "doc_id", row: str | None = None) -> DataFrame:
+    """One row per selected document and epoch: doc_id, domain, lang, source, epoch, n_tokens, take_tokens (fewer where a prefix ends).
+
+    row: a column of docs with a number for each row, given back as _row.
+    """
     source, lang = F.coalesce(docs["source"], F.lit("")), F.coalesce(docs["lang"], F.lit(""))
-    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), F.size(words_of(text_of(docs))).cast("long").alias("n_tokens"))
+    doc_id = docs[id_col].cast("long")
+    # Documents without an id are dealt by their texts.
+    bare = F.when(doc_id.isNull(), F.xxhash64(text_of(docs)))
+    sized = docs.select(doc_id.alias("doc_id"), bare.alias("_bare"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), F.size(words_of(text_of(docs))).cast("long").alias("n_tokens"), *([docs[row].alias("_row")] if row else []))
     return _select(stored(sized, "mix-sizes"), mixture)
 
 
 def _select(sized: DataFrame, mixture: Mixture) -> DataFrame:
-    keys = list(LEVELS)
+    keys, row = list(LEVELS), [c for c in sized.columns if c == "_row"]
     leaves = sized.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).filter("tokens > 0")
     budgets = leaf_budgets(leaves, mixture)
     budgets = budgets.withColumns({"whole": F.expr("take div tokens"), "rest": F.expr("take % tokens"), "ranges": F.expr(f"cast(docs div {RANGE} + 1 as bigint)")})
     budgets = stored(budgets.select(*keys, "whole", "rest", "ranges"), "mix-budgets")
     df = sized.filter("n_tokens > 0").join(budgets, keys)
     # 31 bits of the hash place a document; the range is their leading part.
-    df = df.withColumn("place", F.xxhash64(F.lit(mixture.seed), "whole", "doc_id"))
+    df = df.withColumn("place", F.xxhash64(F.lit(mixture.seed), "whole", F.coalesce("doc_id", "_bare")))
     df = df.withColumn("range", F.expr("cast(shiftrightunsigned(place, 33) * ranges div 2147483648 as bigint)"))
     sums = df.groupBy(*keys, "rest", "range").agg(F.sum("n_tokens").alias("own"))
     low = F.coalesce(F.sum("own").over(W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # One row a leaf, of a size that Spark knows: the rows are not dealt by leaf to meet it.
     ends = stored(sums.withColumn("low", low).filter("low <= rest and rest < low + own").select(*keys, F.col("range").alias("end_range"), "low"), "mix-ends")
     df = df.join(ends, keys).withColumn("_part", F.when(F.col("range") < F.col("end_range"), F.col("n_tokens")).when(F.col("range") > F.col("end_range"), F.lit(0)))
-    order = W.partitionBy(*keys).orderBy(F.shiftrightunsigned("place", 33), "place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*keys).orderBy(F.shiftrightunsigned("place", 33), "place", "doc_id", "n_tokens", *row).rowsBetween(W.unboundedPreceding, -1)
     last = df.filter("_part is null").withColumn("_part", F.greatest(F.least("n_tokens", F.col("rest") - F.col("low") - F.coalesce(F.sum("n_tokens").over(order), F.lit(0))), F.lit(0)).cast("long"))
     df = df.filter("_part is not null").withColumn("_part", F.col("_part").cast("long")).unionByName(last)
     copies = F.col("whole") + F.when(F.col("_part") > 0, 1).otherwise(0)
     out = df.filter(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    return out.select("doc_id", *keys, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("_part")).alias("take_tokens"))
+    return out.select("doc_id", *keys, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("_part")).alias("take_tokens"), *row)
 
 
 def mix(docs: DataFrame, mixture: Mixture = MIXTURE) -> DataFrame:
     """The selected documents with their columns, once per epoch; where a prefix ends, the text is cut after its last word.
 
-    Rows that share an id are each taken once for every selected row of that id.
+    Rows are told apart by a number in a stored table, so rows that share an id or have none each come back as they were selected.
     """
-    chosen = select(docs, mixture).select(F.col("doc_id").alias("_id"), "n_tokens", "take_tokens")
     names = docs.columns
-    out = docs.join(chosen, docs["doc_id"].cast("long") == chosen["_id"])
+    # Names that no column of docs has.
+    row, n, take, text = (max([*names, ""], key=len) + end for end in ("_row", "_n", "_take", "_text"))
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    chosen = select(docs, mixture, row=row).select(F.col("_row").alias(row), F.col("n_tokens").alias(n), F.col("take_tokens").alias(take))
+    out = docs.join(chosen, row)
     bare = F.regexp_replace("text", r"^[\x20\x09-\x0D]+", "")
-    rest = F.element_at(F.split(bare, r"[\x20\x09-\x0D]+", (F.col("take_tokens") + 1).cast("int")), -1)
-    cut = F.when(F.col("take_tokens") >= F.col("n_tokens"), F.col("text")).otherwise(F.regexp_replace(F.substr(bare, F.lit(1), F.length(bare) - F.length(rest)), r"[\x20\x09-\x0D]+$", ""))
-    out = out.withColumn("_text", cut)
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in names]
+    rest = F.element_at(F.split(bare, r"[\x20\x09-\x0D]+", (F.col(take) + 1).cast("int")), -1)
+    cut = F.when(F.col(take) >= F.col(n), F.col("text")).otherwise(F.regexp_replace(F.substr(bare, F.lit(1), F.length(bare) - F.length(rest)), r"[\x20\x09-\x0D]+$", ""))
+    out = out.withColumn(text, cut)
+    columns = [F.col(text).alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
     return out.select(*columns)

@@ -246,6 +246,27 @@ def test_mixing(docs, empty):
     assert out.columns == docs.columns and sum(len(words(r.text)) for r in out.collect()) == taken
 
 
+def test_mixing_null_and_repeated_ids(spark):
+    """Each selected row comes back once per epoch, whatever its id; clashing names are kept."""
+    rows = [(i if i < 40 else 7 if i < 60 else None, " ".join(f"t{i}x{k}" for k in range(5 + i % 9)), "en", "src0", 0, f"r{i}", 3) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, tag string, k long").repartition(3)
+    total = sum(len(words(r[1])) for r in rows)
+    twice = mixing.mix(d, mixing.Mixture({}, 200, 2))
+    got = [(r.doc_id, r.text, r.tag, r.k) for r in twice.collect()]
+    assert twice.columns == d.columns and sorted(map(str, got)) == sorted(str((r[0], r[1], r[5], r[6])) for r in rows * 2)
+    for percent in (125, 60):
+        m = mixing.Mixture({}, percent, 2)
+        taken = [r.take_tokens for r in mixing.select(d, m).collect()]
+        out = mixing.mix(d, m).collect()
+        assert sum(taken) == total * percent // 100 and sorted(len(words(r.text)) for r in out) == sorted(taken)
+        whole = {r[5]: r[1] for r in rows}
+        short = [r for r in out if r.text != whole[r.tag]]
+        assert len(short) <= 1 and all(whole[r.tag].startswith(r.text + " ") for r in short)
+        assert len({r.tag for r in out}) == (100 if percent > 100 else len(out))
+    clashing = d.withColumnsRenamed({"n": "n_tokens", "tag": "_row", "k": "take_tokens"})
+    assert mixing.mix(clashing).columns == clashing.columns and sorted({r[0] for r in mixing.mix(clashing).select("_row").collect()}) == sorted(whole)
+
+
 def test_budget_goes_to_siblings_before_ancestors(spark):
     m = mixing.Mixture({"source": {"a": 1, "b": 1}}, 100, 1)
     rows = [("d", "en", "a", 10, 1), ("d", "en", "b", 100, 1), ("e", "en", "c", 90, 1)]
