@@ -1,12 +1,18 @@
 """Personal data: pattern detectors, and a skip-chain conditional random field that adds what they miss.
 
 The field's nodes are the words with a digit or an "@"; all other words can only be outside. Neighbouring
-nodes share a chain potential. Words of one document with the same key (their letters and digits, for long
-numbers the digits) share skip potentials, one between each and the next of its kind, so the number of
-edges is linear however often a word repeats. Damped loopy message passing over all documents of a batch at
-once gives each word's marginals; a word that the patterns have found is held to its label, so a label
-spreads to distant repeats and to the same number in another spelling. Weights are fitted by logistic
-regression on sentences drawn by a seeded generator of ``TRAINING_SENTENCES`` sentences; no corpus is read.
+nodes share a chain potential. Words of one document with the same key of 5 characters or more (their letters
+and digits, for long numbers the digits) share skip potentials with one hub, so the number of edges is linear
+and every repeat is as near as the next. A word that the patterns have found is held to its label; a key of
+such a word, or of a whole found span, has its hub held as well, so other words of the key don't outvote it:
+the label reaches every repeat alike, and the same number in another spelling of one word. Hubs without a held
+word weigh the scores of all their words. Damped loopy message passing over all documents of a batch, each
+until it has converged, gives each word's marginals.
+
+Weights are fitted by logistic regression on sentences drawn by a seeded generator of ``TRAINING_SENTENCES``
+sentences; no corpus is read. The skip potential is fitted after them, in the same way, to repeats of the
+sentences' words without their cues. These keep their labels always, so the penalty and the number of steps
+bound it. The chain potential, and that of held words, are set by hand.
 
 Defined results: a null or empty text has no spans; repeated rows are searched each; all searches are
 linear in the text; an empty table gives no rows; extra columns are kept by ``mask`` and not read.
@@ -17,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import warnings
 from collections.abc import Iterator
 from functools import cache
 
@@ -153,12 +160,13 @@ def training_sentences(n: int, seed: int) -> Iterator[tuple[list[str], list[int]
 @cache
 def fitted(sentences: int = TRAINING_SENTENCES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unary weights (features, labels), chain and skip potentials (labels, labels)."""
-    rows, labels = [], []
+    rows, labels, again = [], [], []
     for words, own in training_sentences(sentences, seed):
         for i, (w, y) in enumerate(zip(words, own, strict=True)):
             if _MARK.search(w):
                 rows.append(features(w, tuple(words[max(0, i - 2) : i])))
                 labels.append(y)
+                again.append(features(skip_key(w), ()))
     x = np.zeros((len(rows), N_FEATURES))
     for i, f in enumerate(rows):
         x[i, f] = 1
@@ -170,11 +178,25 @@ def fitted(sentences: int = TRAINING_SENTENCES, seed: int = SEED) -> tuple[np.nd
         w -= 2.0 * (x.T @ (p / p.sum(1, keepdims=True) - y) / len(x) + 1e-5 * w)
     chain = np.where(np.eye(N_LABELS, dtype=bool), 0.2, 0.0)
     chain[0, 0] = 0.0
-    return w, chain, np.where(np.eye(N_LABELS, dtype=bool), 3.0, 0.0)
+    scores, skip = np.stack([w[f].sum(0) for f in again]), 0.0
+    for _ in range(400):
+        z = scores + skip * y
+        p = np.exp(z - z.max(1, keepdims=True))
+        skip += 2.0 * ((1 - (p * y).sum(1) / p.sum(1)).mean() - 1e-5 * skip)
+    return w, chain, np.where(np.eye(N_LABELS, dtype=bool), skip, 0.0)
+
+
+#: Largest change of a message, in logarithms, at which a document has converged.
+TOLERANCE = 1e-6
+#: Rounds after which steps are halved, and after which a document that still changes is told of in a warning.
+SLOWER, LAST = 200, 5000
+
 
+def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray, group: np.ndarray, damping: float = 0.5) -> np.ndarray:
+    """Loopy sum-product in logarithms until it has converged. pair: (edges, labels, labels), symmetric in use; group: each edge's document.
 
-def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray, rounds: int = 12, damping: float = 0.5) -> np.ndarray:
-    """Loopy sum-product in logarithms. pair: (edges, labels, labels), symmetric in use."""
+    A document's messages rest once they have all converged, so its marginals don't depend on the others.
+    """
     n, e = len(unary), len(left)
     src, dst = np.concatenate([left, right]), np.concatenate([right, left])
     pots = np.concatenate([pair, pair.transpose(0, 2, 1)])
@@ -184,11 +206,23 @@ def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.n
     def beliefs() -> np.ndarray:
         return unary + np.stack([np.bincount(dst, m[:, k], n) for k in range(unary.shape[1])], 1)
 
-    for _ in range(rounds if e else 0):
-        x = (beliefs()[src] - m[back])[:, :, None] + pots
+    group, step, rounds = np.concatenate([group, group]), 1 - damping, 0
+    on = np.arange(2 * e)
+    while len(on):
+        x = (beliefs()[src[on]] - m[back[on]])[:, :, None] + pots[on]
         top = x.max(1)
         new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
-        m = damping * m + (1 - damping) * (new - new.max(1, keepdims=True))
+        change = new - new.max(1, keepdims=True) - m[on]
+        m[on] += step * change
+        worst = np.zeros(group.max() + 1)
+        np.maximum.at(worst, group[on], np.abs(change).max(1))
+        on = on[worst[group[on]] > TOLERANCE]
+        rounds += 1
+        if rounds % SLOWER == 0:
+            step /= 2
+        if rounds == LAST and len(on):
+            warnings.warn(f"{len(np.unique(group[on]))} documents have not converged", stacklevel=2)
+            break
     b = beliefs()
     b = np.exp(b - b.max(1, keepdims=True))
     return b / b.sum(1, keepdims=True)
@@ -197,13 +231,21 @@ def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.n
 def find_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, as (start, kind, end)."""
     weights, chain, skip = model
-    base, nodes, feats, left, right, kinds = [], [], [], [], [], []
+    base, nodes, feats, left, right, kinds, told = [], [], [], [], [], [], []
+    hubs: list[list[int]] = []
     for d, t in enumerate(texts):
         own = base_spans(t)
         base.append(own)
         if not _MARK.search(t):
             continue
-        before, last, seen, at = ("", ""), -2, {}, 0
+        before, last, at = ("", ""), -2, 0
+        ties: dict[str, list[int]] = {}
+        # Labels that the patterns tell of a key, by the key of the span or of a word in it.
+        known: dict[str, np.ndarray] = {}
+        for a, kind, b in own:
+            key = skip_key(t[a:b])
+            if len(key) >= 5:
+                known.setdefault(key, np.zeros(N_LABELS))[kind + 1] += 1
         for i, m in enumerate(_WORD.finditer(t)):
             w = m[0]
             if _MARK.search(w):
@@ -220,18 +262,31 @@ def find_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray
                     left.append(k - 1), right.append(k), kinds.append(0)
                 key = skip_key(w)
                 if len(key) >= 5:
-                    if key in seen:
-                        left.append(seen[key]), right.append(k), kinds.append(1)
-                    seen[key] = k
+                    ties.setdefault(key, []).append(k)
+                    if held:
+                        known.setdefault(key, np.zeros(N_LABELS))[held] += 1
                 last = i
             before = (before[1], w)
+        for key, tied in ties.items():
+            if key in known:
+                message = np.log(known[key] / known[key].sum() @ np.exp(skip))
+                told += ((k, message) for k in tied if not nodes[k][3])
+            elif len(tied) > 1:
+                hubs.append(tied)
     added: list[list] = [[] for _ in texts]
     if nodes:
         unary = np.stack([weights[f].sum(0) for f in feats])
         held = np.array([x[3] for x in nodes])
         unary[np.flatnonzero(held), held[held > 0]] += 20.0
+        for k, message in told:
+            unary[k] += message
+        for h, tied in enumerate(hubs, len(nodes)):
+            for k in tied:
+                left.append(k), right.append(h), kinds.append(1)
+        unary = np.concatenate([unary, np.zeros((len(hubs), N_LABELS))])
         pair = np.where(np.array(kinds, int)[:, None, None] == 0, chain, skip)
-        p = marginals(unary, np.array(left, int), np.array(right, int), pair)
+        group = np.array([nodes[k][0] for k in left], int)
+        p = marginals(unary, np.array(left, int), np.array(right, int), pair, group)[: len(nodes)]
         for i in np.flatnonzero((p[:, 1:].max(1) >= LEAST_MARGINAL) & (held == 0)).tolist():
             d, a, b, _ = nodes[i]
             if b > a:

@@ -85,6 +85,34 @@ def test_skip_chain_spreads_labels():
     assert [s[1] for s in own] == [3] and set(own) <= set(every)
 
 
+def test_skip_ties_reach_every_repeat():
+    """The respelled number and far repeats are labelled, whatever else is in the batch; other numbers are not."""
+    near = "call +49 170 1234567 now. Later 491701234567 again."
+    far = "call +49-170-1234567 now." + " then 491701234567 or not" * 60 + " and 998877665544 too"
+    backward = "491701234567 " * 30 + "is +49-170-1234567"
+    alone = "then 491701234567 or not " * 60
+    batch = [near, far, "", backward, alone]
+    got = pii.find_spans(batch, pii.fitted())
+    for t, n, (own, every) in zip(batch, (1, 60, 0, 30, 0), got, strict=True):
+        assert set(every) - set(own) == {(m.start(), 3, m.end()) for m in re.finditer("491701234567", t) if n} and len(every) - len(own) == n
+        assert pii.find_spans([t], pii.fitted())[0] == (own, every)
+
+
+def test_marginals_equal_brute_force():
+    """On a hub with three words, one of them with a neighbour: a tree, so message passing is exact."""
+    import itertools
+
+    import numpy as np
+
+    _, chain, skip = pii.fitted()
+    unary = np.random.default_rng(1).normal(0, 2, (5, 5))
+    left, right, pair = np.array([0, 1, 2, 3]), np.array([4, 4, 4, 0]), np.stack([skip, skip, skip, chain])
+    want = np.zeros((5, 5))
+    for y in itertools.product(range(5), repeat=5):
+        want[range(5), y] += np.exp(sum(unary[range(5), y]) + sum(pair[e, y[a], y[b]] for e, (a, b) in enumerate(zip(left, right, strict=True))))
+    assert np.abs(pii.marginals(unary, left, right, pair, np.zeros(4, int)) - want / want.sum(1, keepdims=True)).max() < 1e-4
+
+
 def test_token_counts(docs, empty):
     vocab = set(wordpiece.vocabulary(tokenizer_path()))
     longest = max(map(len, vocab))
