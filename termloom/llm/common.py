@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,40 +14,53 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder for intermediate tables: spark.checkpoint.dir. Unset, it is a temporary folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under :func:`work_dir`, removed when the driver's JVM ends."""
     path = f"{work_dir(spark)}/termloom-{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _path(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
-def drop_work(spark: SparkSession, path: str) -> None:
-    """Delete a work table that no later plan reads."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: Has Spark delete a query's shuffle files at its end, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer referenced, as after a large step was stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path, before = work_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for t in tables:
+        files, target = _path(t.sparkSession, t._work_path)
+        files.delete(target, True)
 
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:

@@ -1,11 +1,14 @@
 """64-bit hashes of words and of runs of words, for whole batches of UTF-8 texts with numpy.
 
-A string's hash is a polynomial in an odd base modulo 2^64, taken from running sums, so that neither a
-word's nor a window's place matters; a bijective mixer follows each level.
+A word's hash is a sum of one pseudo-random number for each of its bytes, told by the byte and its place in the
+word, so that no algebraic identity (as of polynomials modulo 2^64) makes two words equal. A window of a few words
+is a polynomial over mixed word hashes. Each family is independent of the others, and a bijective mixer follows each
+level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -17,6 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text hashed at once.
 CHUNK = 2 << 20
+#: Places whose numbers are held in a table; those further out are computed.
+PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,53 +31,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, 1 << max(10, (size - 1).bit_length()))
-    return up[:size], down[:size]
+def _numbers(byte_and_place: np.ndarray, family: int) -> np.ndarray:
+    """The number of each (place << 8 | byte)."""
+    return mix(mix(byte_and_place + np.uint64(BASES[family])) ^ np.uint64(BASES[1 - family]))
 
 
-def _span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end] for many spans."""
-    up, down = powers(base, len(values) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:-1], dtype=np.uint64)])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+@cache
+def _table(family: int) -> np.ndarray:
+    return _numbers(np.arange(PLACES << 8, dtype=np.uint64), family)
+
+
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word of UTF-8 bytes that end with a separator."""
+    gap = np.flatnonzero(SPACE[raw])
+    start = np.concatenate([[0], gap[:-1] + 1])
+    some = gap > start
+    return start[some], gap[some]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hashes of the words raw[start:end]; words don't overlap and are in order."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    kind = np.int32 if len(raw) < 1 << 22 else np.int64
+    first = np.zeros(len(raw), kind)
+    first[start] = start
+    key = (np.arange(len(raw), dtype=kind) - np.maximum.accumulate(first)) << 8 | raw
+    far = np.flatnonzero(key >= PLACES << 8)
+    values = _table(family)[key & ((PLACES << 8) - 1)]
+    values[far] = _numbers(key[far].astype(np.uint64), family)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(texts: list[bytes], lower: bool = False, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text)."""
+    hashes, counts = [], []
+    for raw, start, end, count in split_texts(texts, lower):
+        hashes.append(span_hashes(raw, start, end, family))
+        counts.append(count)
+    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text)."""
-    hashes, counts, lo = [], [], 0
+def split_texts(texts: list[bytes], lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, starts and ends of the words, words of each text) for runs of some CHUNK bytes."""
+    lo = 0
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi]) < CHUNK):
             size += len(texts[hi]) + 1
             hi += 1
         raw = np.frombuffer(b" ".join(texts[lo:hi]) + b" ", np.uint8)
-        gap = np.flatnonzero(SPACE[raw])
-        start = np.concatenate([[0], gap[:-1] + 1])
-        some = gap > start
-        start, end = start[some], gap[some]
-        hashes.append(_span_hash((LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1), start, end, BASES[0]))
+        start, end = words_of(raw)
         edges = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
-        counts.append(np.diff(np.searchsorted(start, edges), prepend=0))
+        yield LOWER[raw] if lower else raw, start, end, np.diff(np.searchsorted(start, edges), prepend=0)
         lo = hi
-    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def window_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def run_hash(words: np.ndarray, family: int = 0) -> np.ndarray:
+    """The hash of all the words as one run, as an array of one number."""
+    return window_hashes(words, np.array([len(words)]), len(words), family)[0]
+
+
+def window_hashes(words: np.ndarray, counts: np.ndarray, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all windows of k words inside one text, number of windows of each text)."""
     size = np.maximum(counts - k + 1, 0)
     first = np.cumsum(counts) - counts
     upto = np.cumsum(size)
-    start = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first - (upto - size), size)
-    return _span_hash(words, start, start + k, BASES[1]), size
+    total = int(upto[-1]) if len(upto) else 0
+    if not total:
+        return np.zeros(0, np.uint64), size
+    start = np.arange(total) + np.repeat(first - (upto - size), size)
+    span = len(words) - k + 1
+    h = words[:span].copy()
+    for j in range(1, k):
+        h *= np.uint64(BASES[1 - family])
+        h += words[j : j + span]
+    return mix(h + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)))[start], size

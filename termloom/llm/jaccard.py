@@ -4,21 +4,24 @@ Sets of ``ngram``-word shingles link when 100 * common >= percent * union, a bou
 which is a metric. Equal sets form a class and go on as one.
 
 Regions. Over random text the distance to any pivot is almost always near 1, so that Voronoi cells of a few
-global pivots would copy every set into every cell. So cells are opened around the pivots that a set can
+global pivots would copy every set into every cell. So regions are opened around the sets that a set can
 be near at all, which is exact: linked sets have percent of the larger one in common, so under any one order of
 all shingles they share one of their first n - ceil(percent * n / 100) + 1. The order goes from rare to
 frequent, by a table of counts over all documents, so that passages which many documents quote open no
-regions. Sets that share such keys form a region; chains of shared keys are its outer bound.
+regions. The sets that share such a key are its region, and the least of them its pivot.
 
-Inside a region, pivots are chosen farthest-first, each set's distances to them computed, and sets within
-the bound of a pivot join it at once. What is left is compared only inside the windows that the triangle
-inequality leaves open, |d(x, p) - d(y, p)| <= bound for all pivots p, and with a rare shingle in common.
-A region too large for a task first takes its sets to single pivots, in rounds dealt over all
-tasks; sets that are joined then drop out of its open keys, and it falls apart into smaller regions.
+Every set is compared with the pivots of its regions, where sizes and the key's places let a link exist. A region
+whose other sets are of one component then is settled; what is left (regions with the same sets count once) falls
+apart into connected regions. One that a task can hold, by the bytes of its sets, is joined there: pivots are
+chosen farthest-first, and only pairs inside the windows that the triangle inequality leaves open,
+|d(x, p) - d(y, p)| <= bound for all pivots p, and with a rare shingle in common, are compared. A larger one is cut
+into Voronoi cells of new pivots; a set x of cell i is also put into cell j where d(x, pj) - d(x, pi) <= 2 * bound, so
+that linked sets meet, and the cells are regions again, recursively. Where cells don't get smaller (all distances
+near 1), the region's keys are joined one by one, in tiles of two chunks.
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and is its own
 component; fewer than ``ngram`` words are one shingle; equal texts link; a null id never is the smallest;
-an empty table gives no rows. Shingles are compared by 64-bit hashes.
+an empty table gives no rows. Shingles are compared by 64-bit hashes, pair by pair.
 """
 
 from __future__ import annotations
@@ -27,29 +30,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, text_of
+from .common import discard, stored, text_of
 from .frequency import bucket_of, frequencies
-from .hashing import BASES, _span_hash, mix, window_hashes, word_hashes
+from .hashing import BASES, mix, run_hash, window_hashes, word_hashes
 
-#: Sets of a region that one task takes at most, and sets of a tile beyond it.
-REGION = 3000
+#: Bytes of the sets of a region that one task joins, and of a tile beyond it.
+REGION_BYTES = 24 << 20
+#: Cells that a large region is cut into at most.
+MOST_CELLS = 32
 #: Edges that a task of a components step holds.
 TASK_EDGES = 1 << 20
 #: Farthest-first pivots of a region.
 PIVOTS = 12
 
 
-def shingles(text: bytes, ngram: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    words, counts = word_hashes([text], lower=True)
-    if not len(words):
-        return words
-    if len(words) < ngram:
-        return _span_hash(words, np.array([0]), np.array([len(words)]), BASES[1])
-    return np.unique(window_hashes(words, counts, ngram)[0])
+def shingle_sets(texts: list[bytes], ngram: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    words, counts = word_hashes(texts, lower=True)
+    windows, size = window_hashes(words, counts, ngram)
+    at, upto = np.cumsum(size).tolist(), np.cumsum(counts).tolist()
+    out = []
+    for n, k, hi, top in zip(counts.tolist(), size.tolist(), at, upto, strict=True):
+        if k:
+            s = np.sort(windows[hi - k : hi])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        else:
+            out.append(run_hash(words[top - n : top]) if n else words[:0])
+    return out
 
 
 class Bound:
@@ -66,9 +76,14 @@ class Bound:
         """In any order of the shingles, linked sets share one of so many first ones."""
         return n + (-n * self.percent // 100) + 1
 
+    def possible(self, a: str, b: str) -> Column:
+        """Whether sets whose first common shingle is this one may link; a, b: columns of size << 32 | place in the order."""
+        n, m, i, j = (F.expr(x) for x in (f"shiftright({a}, 32)", f"shiftright({b}, 32)", f"{a} & 4294967295", f"{b} & 4294967295"))
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * F.least(n - i, m - j) >= self.percent * (n + m))
+
 
 def keys_of(s: np.ndarray, bound: Bound, levels: np.ndarray) -> np.ndarray:
-    """Region keys of a set of hashes: its rarest shingles."""
+    """Region keys of a set of hashes: its rarest shingles, rarest first."""
     mixed = mix(s)
     return mixed[np.lexsort((mixed, levels[bucket_of(mixed)]))[: bound.lead(len(s))]]
 
@@ -80,11 +95,10 @@ def set_keys(docs: DataFrame, ngram: int, bound: Bound) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
                 n, s1, s2, keys = [], [], [], []
-                for t in part.column("text").cast(pa.binary()).to_pylist():
-                    s = shingles(t, ngram)
+                for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), ngram):
                     n.append(len(s))
                     s1.append(int((mix(s).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64)))
                     s2.append(int(mix(s * np.uint64(BASES[1]) + np.uint64(9)).sum(dtype=np.uint64).view(np.int64)))
@@ -95,23 +109,23 @@ def set_keys(docs: DataFrame, ngram: int, bound: Bound) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, th long, n long, s1 long, s2 long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """id and shingle hashes of the wanted sets (id, th): one text stands for each."""
+def sets_of(docs: DataFrame, wanted: DataFrame, ngram: int, repeated: bool) -> DataFrame:
+    """id and shingle hashes of the wanted sets (id, doc, th): one text stands for each, also where several rows are ``repeated``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                sets = [shingles(t, ngram).astype("<u8").tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "doc_id", "hashes"])
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), ngram)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("th", F.xxhash64("text"))
     # A text's hash and its document together name the row.
-    same = rows["doc_id"].eqNullSafe(wanted["rep_doc"]) & (rows["th"] == wanted["th"])
+    same = rows["doc_id"].eqNullSafe(wanted["doc"]) & (rows["th"] == wanted["th"])
     if wanted.count() * 32 <= 32 << 20:
         wanted = F.broadcast(wanted)
-    hit = rows.join(wanted, same).select("id", rows["doc_id"], "text")
-    return hit.mapInArrow(batches, "id long, doc_id long, hashes binary").dropDuplicates(["id"]).select("id", "hashes")
+    out = rows.join(wanted, same).select("id", "text").mapInArrow(batches, "id long, hashes binary")
+    return out.dropDuplicates(["id"]) if repeated else out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +167,8 @@ def components(edges: DataFrame, name: str, task_edges: int = TASK_EDGES) -> Dat
     e, before = stored(edges.filter("a != b").select("a", "b"), f"{name}-edges"), None
     while True:
         tasks = max(1, -(-e.count() // task_edges))
-        e = stored(_contracted(e, tasks), f"{name}-edges")
+        e, old = stored(_contracted(e, tasks), f"{name}-edges"), e
+        discard(old)
         if tasks == 1:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -161,7 +176,8 @@ def components(edges: DataFrame, name: str, task_edges: int = TASK_EDGES) -> Dat
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = stored(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+        e, old = stored(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges"), e
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.coalesce(F.max("a"), F.lit(0))).first()
         if before == tuple(now):
             break
@@ -191,12 +207,14 @@ class _Forest:
         return r
 
 
-def join_region(sets: list[np.ndarray], bound: Bound) -> np.ndarray:
-    """For each set the number of the least set that it reaches by links. Exact."""
+def join_region(sets: list[np.ndarray], bound: Bound, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the number of the least set that it reaches by links; known: for each, a lower one that it does. Exact."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     flat, start = np.concatenate(sets), np.cumsum(size) - size
     forest = _Forest(m)
+    if known is not None:
+        forest.up = known.copy()
 
     def common(s: np.ndarray, others: np.ndarray) -> np.ndarray:
         if len(others) < m // 2:
@@ -257,14 +275,15 @@ def join_region(sets: list[np.ndarray], bound: Bound) -> np.ndarray:
 
 
 def _region_edges(regions: DataFrame, bound: Bound) -> DataFrame:
-    """regions: (region, id, hashes). Edges (a, b) that span the links of each region."""
+    """regions: (region, id, root, hashes). Edges (a, b) that span the links of each region."""
 
     def region(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
         order = np.argsort(ids)
-        raw = t.column("hashes").to_pylist()
-        roots = join_region([np.frombuffer(raw[i], np.uint64) for i in order.tolist()], bound)
-        ids = ids[order]
+        raw, ids = t.column("hashes"), ids[order]
+        # Sets of one known component are one from the start.
+        _, first, at = np.unique(t.column("root").to_numpy()[order], return_index=True, return_inverse=True)
+        roots = join_region([np.frombuffer(raw[i].as_buffer(), np.uint64) for i in order.tolist()], bound, first[at])
         some = roots != np.arange(len(roots))
         return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[roots[some]], pa.int64())})
 
@@ -276,98 +295,165 @@ def _pair_edges(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:
-            a, b = ([np.frombuffer(r, np.uint64) for r in x.column(c).to_pylist()] for c in ("x", "y"))
-            c = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(a, b, strict=True)], np.int64)
-            ok = bound.links(c, np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64))
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for lo in range(0, x.num_rows, 1000):
+                part = x.slice(lo, 1000)
+                a, b = ([np.frombuffer(r.as_buffer(), np.uint64) for r in part.column(c)] for c in ("x", "y"))
+                c = np.array([np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s) for s, t in zip(a, b, strict=True)], np.int64)
+                ok = bound.links(c, np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
 
 
-def join(docs: DataFrame, ngram: int = 3, percent: int = 90, region_size: int = REGION) -> DataFrame:
-    """doc_id, n_shingles, component_id, th (hash of the text): one row per document."""
-    bound = Bound(percent)
-    rows = stored(set_keys(docs, ngram, bound).withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
-    # A class goes by the row that stands for it; few bytes of these numbers differ, so they shuffle small.
-    classes = stored(classes.withColumn("id", F.col("rep")), "classes")
-    members = rows.select(F.col("row").alias("rep"), "keys").join(classes.select("rep", "id"), "rep").select("id", F.explode("keys").alias("key"))
-    # The keys' shuffle is gone from the disks before their members shuffle to meet them.
-    ends = stored(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "shared-keys")
-    release(docs.sparkSession)
-    shared = stored(members.join(ends, "key"), "shared")
-    del members
-    release(docs.sparkSession)
-    wanted = shared.select("id").distinct().join(rows.select(F.col("row").alias("id"), F.col("doc_id").alias("rep_doc"), "th"), "id")
-    wanted = stored(wanted, "wanted")
-    sets = stored(sets_of(docs, wanted, ngram), "hashes")
-    opened = shared.select("key", "id", "low", "high")
-    edges = None
-    for turn in ("low", "high", None):
-        regions = components(opened.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")), "region")
-        sizes = regions.groupBy("root").agg(F.count("*").alias("n"))
-        regions = stored(regions.join(sizes, "root"), "regions")
-        inside = regions.filter(F.col("n") <= region_size)
-        found = _region_edges(inside.select(F.col("root").alias("region"), "id").join(sets, "id"), bound)
-        large = regions.filter(F.col("n") > region_size).select("id")
-        if turn is None or large.isEmpty():
-            if turn is None:
-                found = found.unionByName(_tiled(regions.filter(F.col("n") > region_size), opened, sets, bound, region_size))
-            edges = stored(found if edges is None else found.unionByName(edges), "links")
-            break
-        opened = opened.join(large, "id", "left_semi")
-        pairs = opened.select(F.col("id").alias("a"), F.col(turn).alias("b")).filter("a != b").distinct()
-        found = found.unionByName(_pair_edges(pairs, sets, bound))
-        edges = stored(found if edges is None else found.unionByName(edges), "links")
-        # Keys whose members all have one root are settled; of the others, the members stay.
-        roots = components(edges, "linked")
-        known = opened.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        still = known.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("id").alias("low"), F.max("id").alias("high")).filter("r1 < r2").select("key", "low", "high")
-        opened = stored(opened.select("key", "id").join(still, "key"), "opened")
-    roots = components(edges, "linked")
-    linked = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(linked.join(least, "root").select("s1", "s2", "component_id"), "components")
-    out = rows.select("doc_id", "th", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "th")
-
-
-def _tiled(regions: DataFrame, opened: DataFrame, sets: DataFrame, bound: Bound, size: int) -> DataFrame:
-    """Regions that stay large after all rounds: their open keys one by one, each cut into tiles of two chunks."""
-    half = max(1, size // 2)
-    keys = opened.join(regions.select("id"), "id", "left_semi").select("key", "id")
-    count = keys.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {half}) as int)").alias("chunks"))
+def _cells(large: DataFrame, sets: DataFrame, bound: Bound, limit: int, turn: int) -> DataFrame:
+    """Voronoi cells of new pivots in each region. large: region, id, total (bytes of the region).
+
+    Rows (region, id, cell, a): the cells of a set, its own and those that the triangle inequality leaves open, and the
+    pivots a that it links with. Sets are dealt in slices of some ``limit`` bytes; each meets all pivots of its region.
+    """
+    hashed = lambda k: F.xxhash64("id", F.lit(turn), F.lit(k))
+    cells = F.least(F.lit(MOST_CELLS), F.ceil(2 * F.col("total") / limit)).cast("int")
+    slices = F.ceil(F.col("total") / limit).cast("int")
+    pivots = large.withColumn("cell", F.pmod(hashed(0), cells).cast("int")).groupBy("region", "cell").agg(F.min_by("id", hashed(1)).alias("id"), F.max("total").alias("total"))
+    pivots = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).join(sets, "id").select("region", "slice", "cell", "id", "hashes")
+    pivots = pivots.select(*[F.col(c).alias(f"p_{c}") for c in pivots.columns])
+    members = large.withColumn("slice", F.pmod(hashed(2), slices).cast("int")).join(sets, "id").select("region", "slice", "id", "hashes")
+    schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("a", pa.int64())])
+
+    def assigned(own: pa.Table, pivots: pa.Table) -> pa.Table:
+        order = np.argsort(pivots.column("p_cell").to_numpy())
+        sites = [np.frombuffer(pivots.column("p_hashes")[i].as_buffer(), np.uint64) for i in order.tolist()]
+        site_ids, names, size = pivots.column("p_id").to_numpy()[order], pivots.column("p_cell").to_numpy()[order], np.array([len(p) for p in sites])
+        out: list[tuple] = []
+        for region, i, raw in zip(own.column("region").to_pylist(), own.column("id").to_pylist(), own.column("hashes"), strict=True):
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            c = np.array([np.count_nonzero(p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s) for p in sites])
+            d = 1 - c / (size + len(s) - c)
+            near = int(d.argmin())
+            # A pair of two cells meets in the one of lower number.
+            meets = d <= d[near] + 2 * (1 - bound.ratio) + 1e-9
+            out += ((region, i, k, None) for k in names[: near + 1][meets[: near + 1]].tolist())
+            out += ((region, i, None, a) for a in site_ids[bound.links(c, size, len(s))].tolist() if a != i)
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [[]] * 4, schema=schema)
+
+    return members.groupBy("region", "slice").cogroup(pivots.groupBy("p_region", "p_slice")).applyInArrow(assigned, "region long, id long, cell int, a long")
+
+
+def _tiled(regions: DataFrame, opened: DataFrame, sets: DataFrame, bound: Bound, limit: int) -> DataFrame:
+    """Regions that cells don't make smaller: their open keys one by one, each cut into tiles of two chunks."""
+    keys = opened.select("key", "id").join(regions.select("id", "root", "bytes"), "id")
+    count = keys.groupBy("key").agg(F.ceil(2 * F.sum("bytes") / limit).cast("int").alias("chunks"))
     cut = keys.join(count, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "id")
+    tiles = tiles.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "id", "root")
     return _region_edges(tiles.distinct().join(sets, "id"), bound)
 
 
+def _both(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def region_links(regions: DataFrame, opened: DataFrame, sets: DataFrame, bound: Bound, limit: int = REGION_BYTES) -> DataFrame:
+    """Edges that span the links inside the regions, recursively. regions: region, id, root, bytes; opened: key, id."""
+    found, stuck, turn = None, None, 0
+    while True:
+        sizes = regions.groupBy("region").agg(F.sum("bytes").alias("total"))
+        sized = stored(regions.join(sizes, "region"), f"regions-{turn}")
+        inside, large = sized.filter(F.col("total") <= limit), sized.filter(F.col("total") > limit)
+        found = _both(found, stored(_region_edges(inside.select("region", "id", "root").join(sets, "id"), bound), f"region-links-{turn}"))
+        if turn:
+            # A cell that holds most of its parent would be cut in vain again.
+            held = large.filter("total > 0.7 * parent").select("id", "root", "bytes").distinct()
+            if not held.isEmpty():
+                stuck = _both(stuck, stored(held, f"stuck-{turn}"))
+            large = large.filter("total <= 0.7 * parent")
+        if large.isEmpty():
+            break
+        cells = stored(_cells(large.select("region", "id", "total"), sets, bound, limit, turn), f"cells-{turn}")
+        found = found.unionByName(cells.filter("a is not null").select("a", F.col("id").alias("b")))
+        regions = cells.filter("cell is not null").select("region", "id", "cell").join(large, ["region", "id"])
+        regions = regions.select(F.xxhash64("region", "cell").alias("region"), "id", "root", "bytes", F.col("total").alias("parent"))
+        turn += 1
+    return found if stuck is None else found.unionByName(_tiled(stuck.distinct(), opened, sets, bound, limit))
+
+
+def linked(docs: DataFrame, ngram: int, percent: int, limit: int = REGION_BYTES) -> DataFrame:
+    """One row per document: row, doc_id, th (hash of the text), n (size of the set), root (a number of its component; null without words)."""
+    bound = Bound(percent)
+    rows = stored(set_keys(docs, ngram, bound).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # A class goes by the first of its rows; few bytes of these numbers differ, so they shuffle small.
+    classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("id"))
+    of = stored(rows.select("row", "doc_id", "th", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("row", "doc_id", "th", "n", "id"), "classes")
+    # Whether a document's id and its text's hash don't name one row only.
+    repeated = not of.filter("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("copies")).filter("copies > 1").isEmpty()
+    copies = stored(of.filter("row != id").select("row"), "copies")
+    members = rows.filter("n > 0").join(copies, "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
+    members = members.select("key", "id", F.expr("shiftleft(n, 32) | pos").alias("size"))
+    ends = stored(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
+    shared = stored(members.join(ends, "key").select("key", "id", "size", "low"), "shared")
+    discard(rows, copies, ends)
+
+    def sets_for(ids: DataFrame) -> DataFrame:
+        wanted = stored(ids.join(of.filter("row = id").select("id", F.col("doc_id").alias("doc"), "th"), "id"), "wanted")
+        out = stored(sets_of(docs, wanted, ngram, repeated), "hashes")
+        discard(wanted)
+        return out
+
+    # Every set meets the pivots of its regions.
+    pivots = shared.filter("id = low").select("key", F.col("size").alias("other"))
+    pairs = shared.filter("id != low").join(pivots, "key").filter(bound.possible("size", "other"))
+    pairs = stored(pairs.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    sets = sets_for(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    edges = stored(_pair_edges(pairs, sets, bound), "links")
+    discard(pairs)
+    # What the pivots have not settled: keys with sets of several components. Keys with the same sets count once.
+    roots = components(edges, "linked")
+    rest = shared.filter("id != low").select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    regions = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
+    regions = regions.filter("r1 < r2").groupBy("low", "n", "x1", "x2").agg(F.min("key").alias("key"))
+    opened = stored(rest.join(regions.select("key", "low"), "key").select("key", "id", "root", "low"), "opened")
+    discard(shared)
+    if not opened.isEmpty():
+        ids = stored(opened.select("id", "root").distinct(), "open-sets")
+        sets = sets.unionByName(sets_for(ids.select("id").join(sets.select("id"), "id", "left_anti")))
+        region = components(opened.select(F.col("id").alias("a"), F.col("low").alias("b")), "region").withColumnRenamed("root", "region")
+        sizes = of.filter("row = id").select("id", (8 * F.col("n")).alias("bytes"))
+        edges = edges.unionByName(region_links(ids.join(region, "id").join(sizes, "id"), opened, sets, bound, limit))
+        roots = components(edges, "linked")
+    return of.join(roots, "id", "left").select("row", "doc_id", "th", "n", F.coalesce("root", "id").alias("root"))
+
+
+def join(docs: DataFrame, ngram: int = 3, percent: int = 90, limit: int = REGION_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document."""
+    rows = stored(linked(docs, ngram, percent, limit), "linked")
+    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def keep_first(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of each component, once; columns unchanged. Documents without words stay.
+    """One document of each component, that with the smallest id; columns unchanged. Documents without words stay.
 
-    Of rows with one id and several texts, the one with the smallest text hash stays. Documents without an id
-    stay once a text, unless they are linked with one that has an id.
+    Null ids come last, and of rows with one id in one component the one with the smallest text hash stays.
     """
-    spark, names = docs.sparkSession, docs.columns
-    # Names of the keys that no column of docs has.
+    names = docs.columns
+    # Names that no column of docs has.
     k1, k2 = (max([*names, ""], key=len) + end for end in ("_key", "_hash"))
-    j = join(docs, ngram, percent).withColumn("stays", F.expr("n_shingles = 0 or doc_id <=> component_id"))
-    texts = j.groupBy("doc_id", "th").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
-    first = texts.filter("stays").groupBy("doc_id").agg(F.min("th").alias("first")).withColumnRenamed("doc_id", "_id")
-    verdicts = texts.join(first, F.col("doc_id") == F.col("_id"), "left").select(F.col("doc_id").alias(k1), F.col("th").alias(k2), F.expr("stays and (doc_id is null or th = first)").alias("keep"), "copies")
-    verdicts = stored(verdicts, "verdicts")
+    rows = stored(linked(docs, ngram, percent), "linked").filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first")
+    groups = rows.groupBy("root").agg(first, F.count("*").alias("members")).filter("members > 1")
     # What goes is the smaller part, and of a size that Spark knows: below its threshold, no text is shuffled.
-    gone = stored(verdicts.filter("not keep").select(k1, k2), "gone")
-    release(spark)
+    verdicts = stored(rows.join(groups, "root").select(F.col("doc_id").alias(k1), F.col("th").alias(k2), F.expr("doc_id <=> first.doc_id and th = first.th").alias("keep")), "verdicts")
+    gone = stored(verdicts.filter("not keep").select(k1, k2).distinct(), "gone")
     doc_id, text_hash = docs["doc_id"].cast("long"), F.xxhash64(text_of(docs))
     same = lambda t: doc_id.eqNullSafe(t[k1]) & (text_hash == t[k2])
     kept = docs.join(gone, same(gone), "left_anti").select(*[docs[c] for c in names])
-    repeated = verdicts.filter("keep and copies > 1").select(k1, k2)
+    # Rows with the id and the text of the one that stays.
+    repeated = verdicts.filter("keep").groupBy(k1, k2).agg(F.count("*").alias("copies")).filter("copies > 1").select(k1, k2)
     if repeated.isEmpty():
         return kept
     repeated = stored(repeated, "repeated")
-    once = docs.join(repeated, same(repeated)).dropDuplicates([k1, k2]).select(*names)
-    return kept.join(repeated, same(repeated), "left_anti").select(*names).unionByName(once)
+    once = docs.join(repeated, same(repeated)).dropDuplicates([k1, k2]).select(*[docs[c] for c in names])
+    return docs.join(gone, same(gone), "left_anti").join(repeated, same(repeated), "left_anti").select(*names).unionByName(once)

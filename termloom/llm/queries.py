@@ -53,7 +53,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("th")
+    return jaccard.join(table(spark, sf_dir, "documents"), ngram=3, percent=90)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,8 +191,8 @@ def test_media(docs, empty):
     assert media.decode_media(media.encode_texts(empty)).count() == 0
 
 
-@pytest.mark.parametrize(("ngram", "percent", "size"), [(3, 90, 3000), (5, 80, 3)])
-def test_jaccard(docs, empty, ngram, percent, size):
+@pytest.mark.parametrize(("ngram", "percent", "limit"), [(3, 90, 1 << 20), (5, 80, 3000)])
+def test_jaccard(docs, empty, ngram, percent, limit):
     sets = []
     for t in texts():
         w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -206,7 +206,7 @@ def test_jaccard(docs, empty, ngram, percent, size):
         for j, b in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 up[max(find(i), find(j))] = min(find(i), find(j))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, ngram, percent, size).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, ngram, percent, limit).collect()}
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
@@ -228,7 +228,7 @@ def test_frequencies(spark, docs, empty):
     from termloom.llm.hashing import mix
 
     table = frequency.frequencies(docs.repartition(130), 3)
-    common = jaccard.shingles(b"the of the of", 3)
+    common = jaccard.shingle_sets([b"the of the of"], 3)[0]
     assert (table[frequency.bucket_of(mix(common))] > 8 * 10).all() and not frequency.frequencies(empty, 3).any()
 
 
