@@ -50,12 +50,13 @@ def reversed_bytes(b: Column) -> Column:
 
 
 def vint_length(n: Column) -> Column:
-    """Bytes of a non-negative number in groups of seven bits."""
-    return F.greatest(long(1), F.ceil(msb(n) / 7)).cast("long")
+    """Bytes of a number in groups of seven bits; a negative one is taken as 32 bits and has five."""
+    return F.when(n < 0, long(5)).otherwise(F.greatest(long(1), F.ceil(msb(n) / 7))).cast("long")
 
 
 def vint(n: Column) -> Column:
-    """The bytes of a non-negative number, low groups first, as hexadecimal digits."""
+    """The bytes of a number, low groups first, as hexadecimal digits; a negative one is taken as 32 bits."""
+    n = F.when(n < 0, n.bitwiseAND(long(0xFFFFFFFF))).otherwise(n)
     groups = F.transform(F.sequence(long(0), vint_length(n) - 1), lambda i: F.call_function("shiftrightunsigned", n, (i * 7).cast("int")).bitwiseAND(127) + F.when(i < vint_length(n) - 1, 128).otherwise(0))
     return F.array_join(F.transform(groups, lambda g: F.lpad(F.hex(g), 2, "0")), "")
 
@@ -90,3 +91,19 @@ def chunks(items: Column, size: int) -> Column:
 
 def flag(n: Column, mask: int) -> Column:
     return n.bitwiseAND(mask) != 0
+
+
+def set_flag_if(condition: Column, mask: int) -> Column:
+    """The flag, or nothing."""
+    return F.when(condition, mask).otherwise(0).cast("long")
+
+
+#: Fixed value: the multiplier of the match finder's hash.
+HASH_FACTOR = 2654435761
+
+
+def match_hash(n: Column, bits: int) -> Column:
+    """The highest bits of the low 32 of n times the multiplier, taken by halves, so that nothing overflows."""
+    n = n.bitwiseAND(long(0xFFFFFFFF))
+    high = F.shiftleft((n * (HASH_FACTOR >> 16)).bitwiseAND(0xFFFF), 16)
+    return F.shiftright((high + n * (HASH_FACTOR & 0xFFFF)).bitwiseAND(long(0xFFFFFFFF)), 32 - bits)

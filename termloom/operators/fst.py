@@ -49,12 +49,17 @@ def potentials(entries: DataFrame, algebra=Numbers) -> DataFrame:
 
 
 def arcs(entries: DataFrame, algebra=Numbers) -> DataFrame:
-    """node, label, target, output, final_output (null where no key ends)."""
+    """node, label, target, output, final_output (null where no key ends).
+
+    An empty key is the final output of a virtual arc to the root, without node and label."""
     pot = potentials(entries, algebra)
     child = pot.select("prefix", F.left("prefix", F.length("prefix") - 1).alias("node"), F.right("prefix", F.lit(1)).alias("label"), "potential")
     parent = pot.select(F.col("prefix").alias("node"), F.col("potential").alias("above"))
     out = child.join(parent, "node", "left").join(entries.select(F.col("term").alias("prefix"), F.col("output").alias("whole")), "prefix", "left")
-    return out.select("node", "label", F.col("prefix").alias("target"), algebra.less(F.col("potential"), F.coalesce("above", F.lit(algebra.empty))).alias("output"), algebra.less(F.col("whole"), F.col("potential")).alias("final_output"))
+    out = out.select("node", "label", F.col("prefix").alias("target"), algebra.less(F.col("potential"), F.coalesce("above", F.lit(algebra.empty))).alias("output"), algebra.less(F.col("whole"), F.col("potential")).alias("final_output"))
+    nothing = F.lit(None).cast("string")
+    root = entries.filter("term = ''").select(nothing.alias("node"), nothing.alias("label"), F.col("term").alias("target"), F.lit(algebra.empty).cast(entries.schema["output"].dataType).alias("output"), F.col("output").alias("final_output"))
+    return out.unionByName(root)
 
 
 def accept(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -64,29 +69,36 @@ def accept(queries: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def match_path(queries: DataFrame, entries: DataFrame, algebra=Numbers) -> DataFrame:
-    """The longest path of each query, whether or not a key ends there: its length and the outputs on it with the last arc's final output."""
+    """The longest path of each query, whether or not a key ends there: its length and the outputs on it with the last arc's final output.
+
+    A path that goes nowhere has the empty key's output, if there is one."""
     pot = potentials(entries, algebra).join(entries.select(F.col("term").alias("prefix"), F.col("output").alias("whole")), "prefix", "left")
     # Arc outputs up to a node add up to its potential, and a final output completes them to the key's own.
     node = pot.select("prefix", F.coalesce("whole", "potential").alias("value"))
     hit = prefixes(queries, "query").join(node, "prefix").groupBy("query").agg(F.max(F.struct("depth", "value")).alias("m"))
-    return queries.join(hit, "query", "left").select("query", F.coalesce("m.depth", F.lit(0)).cast("long").alias("path_length"), F.coalesce("m.value", F.lit(algebra.empty)).alias("output"))
-
-
-def minimal_states(entries: DataFrame, checkpoint) -> DataFrame:
-    """signature, nodes: classes of equal nodes, deepest first. checkpoint(df, name) stores each level."""
-    a = checkpoint(arcs(entries).withColumn("depth", F.length("target")), "arcs")
-    deepest = a.agg(F.max("depth")).first()[0] or 0
-    below, done = None, None
-    for depth in range(deepest, -1, -1):
-        here = a.filter(F.col("depth") == depth).select(F.col("target").alias("node"), "final_output") if depth else a.sparkSession.createDataFrame([("", None)], "node string, final_output long")
-        out = F.lit(None).cast("string")
-        if below is not None:
-            kids = a.filter(F.col("depth") == depth + 1).join(below.select(F.col("node").alias("target"), "signature"), "target")
-            kids = kids.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("label", "output", "signature"))).alias("kids"))
-            here, out = here.join(kids, "node", "left"), F.to_json("kids")
-        below = checkpoint(here.select("node", F.sha2(F.concat_ws("|", F.coalesce(F.col("final_output").cast("string"), F.lit("-")), out), 256).alias("signature")), "level")
-        done = below if done is None else done.unionByName(below)
-    return done.groupBy("signature").agg(F.count("*").alias("nodes"))
+    root = entries.filter("term = ''").agg(F.min("output").alias("root"))
+    out = queries.join(hit, "query", "left").join(F.broadcast(root))
+    return out.select("query", F.coalesce("m.depth", F.lit(0)).cast("long").alias("path_length"), F.coalesce("m.value", "root", F.lit(algebra.empty)).alias("output"))
+
+
+def state_classes(entries: DataFrame) -> DataFrame:
+    """keys, states, nodes: of the nodes with so many keys below, how many differ, and how many there are.
+
+    Two nodes are one state of the minimal transducer if they have the same rests of keys below with the same outputs
+    less their potentials, so no level waits for the one below it: each node's class is 128 bits of that set."""
+    every = entries.select("term", "output", F.explode(F.sequence(F.lit(0), F.length("term"))).alias("depth"))
+    every = every.select(F.left("term", F.col("depth")).alias("prefix"), F.substr("term", F.col("depth") + 1).alias("rest"), "output")
+    low = every.groupBy("prefix").agg(F.min("output").alias("low"))
+    rest = every.join(low, "prefix").withColumn("output", F.col("output") - F.col("low"))
+    nodes = rest.groupBy("prefix").agg(F.count("*").alias("keys"), *[F.bit_xor(F.xxhash64(F.lit(k), "rest", "output")).alias(f"h{k}") for k in (1, 2)])
+    states = nodes.groupBy("keys", "h1", "h2").agg(F.count("*").alias("nodes"))
+    return states.groupBy("keys").agg(F.count("*").alias("states"), F.sum("nodes").alias("nodes"))
+
+
+def trie_edges(dictionary: DataFrame) -> DataFrame:
+    """node, label of every edge of the trie of terms."""
+    p = prefixes(dictionary, "term").select("prefix").distinct()
+    return p.select(F.left("prefix", F.length("prefix") - 1).alias("node"), F.right("prefix", F.lit(1)).alias("label"))
 
 
 def dot_lines(a: DataFrame) -> DataFrame:

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.functions import bits
 from termloom.operators import codecs, fst, lookup, metadata
 from termloom.plans import terms
+from termloom.store import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 TOK = r"""tok AS (SELECT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
 post AS (SELECT term, doc, count(*) AS freq FROM tok GROUP BY term, doc),
-td AS (SELECT term, count(*) AS doc_freq, sum(freq)::BIGINT AS total_term_freq, CASE WHEN count(*) = 1 THEN min(doc) END AS singleton_doc FROM post GROUP BY term)"""
+td AS MATERIALIZED (SELECT term, count(*) AS doc_freq, sum(freq)::BIGINT AS total_term_freq, CASE WHEN count(*) = 1 THEN min(doc) END AS singleton_doc FROM post GROUP BY term)"""
 FIELDS = TOK + """, fp AS (SELECT 'text' AS field, term, doc, freq FROM post UNION ALL SELECT 'lang', lang, doc_id, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang, doc_id UNION ALL SELECT 'source', source, doc_id, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source, doc_id),
 ft AS (SELECT field, term, count(*) AS df, sum(freq)::BIGINT AS ttf, CASE WHEN count(*) = 1 THEN min(doc) END AS singleton_doc FROM fp GROUP BY field, term),
 fm AS (SELECT field, count(*) AS num_terms, sum(ttf)::BIGINT AS sum_total_term_freq, sum(df)::BIGINT AS sum_doc_freq, min(term) AS min_term, max(term) AS max_term, (SELECT count(DISTINCT doc) FROM fp WHERE fp.field = ft.field) AS doc_count FROM ft GROUP BY field)"""
@@ -39,18 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, name: str) -> DataFrame:
-    """Stores an iteration's result in the shared folder and reads it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _post(spark: SparkSession, d: str) -> DataFrame:
     return terms.postings(terms.tokens(table(spark, d, "documents")))
 
@@ -76,14 +62,14 @@ def term_dictionary(spark, d):
 
 @query(f"WITH {FIELDS} SELECT * FROM fm")
 def field_meta(spark, d):
-    return terms.field_meta(terms.field_postings(table(spark, d, "documents")))
+    return terms.field_meta(table(spark, d, "documents"))
 
 
 @query(f"WITH {FIELDS} SELECT field, doc_count >= 0 AND doc_count <= (SELECT count(*) FROM documents) AND sum_doc_freq >= doc_count AND sum_total_term_freq >= sum_doc_freq AS sound FROM fm")
 def field_meta_sound(spark, d):
     docs = table(spark, d, "documents")
     n = docs.agg(F.count("*").alias("max_doc"))
-    m = terms.field_meta(terms.field_postings(docs)).join(F.broadcast(n))
+    m = terms.field_meta(docs).join(F.broadcast(n))
     return m.select("field", ((F.col("doc_count") >= 0) & (F.col("doc_count") <= F.col("max_doc")) & (F.col("sum_doc_freq") >= F.col("doc_count")) & (F.col("sum_total_term_freq") >= F.col("sum_doc_freq"))).alias("sound"))
 
 
@@ -92,19 +78,20 @@ SELECT t.field, t.target, t.target BETWEEN fm.min_term AND fm.max_term AS in_ran
 FROM t JOIN fm USING (field) LEFT JOIN ft ON ft.field = t.field AND ft.term = t.target AND t.target BETWEEN fm.min_term AND fm.max_term"""
 
 
-@query(SEEK)
-def seek_exact(spark, d):
-    """The flagship: exact-term lookup with range pruning. Targets are few next to the dictionary."""
-    docs = table(spark, d, "documents")
+def seek_targets(spark, d):
+    """Distinct targets of three fields, some of them outside their fields' bounds."""
     nation = table(spark, d, "nation")
     t = table(spark, d, "orders").select(F.lit("text").alias("field"), F.lower("o_orderpriority").alias("target"))
     t = t.union(table(spark, d, "part").select(F.lit("text"), F.lower(F.regexp_extract("p_name", "^[A-Za-z]+", 0))))
     t = t.union(nation.select(F.lit("lang"), F.lower(F.left("n_name", F.lit(2))))).union(nation.select(F.lit("source"), F.concat(F.lit("src"), "n_nationkey")))
-    t = t.union(spark.createDataFrame([("text", "the"), ("text", "!"), ("text", "zzzz~"), ("text", "que")], "field string, target string")).distinct()
-    fields = terms.field_postings(docs)
-    dictionary = fields.groupBy("field", "term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_term_freq"), F.min("doc").alias("first"))
-    dictionary = dictionary.select("field", "term", "doc_freq", "total_term_freq", F.when(F.col("doc_freq") == 1, F.col("first")).alias("singleton_doc"))
-    return lookup.seek_exact(t, terms.field_meta(fields), dictionary)
+    return t.union(spark.createDataFrame([("text", "the"), ("text", "!"), ("text", "zzzz~"), ("text", "que")], "field string, target string")).distinct()
+
+
+@query(SEEK)
+def seek_exact(spark, d):
+    """The flagship: exact-term lookup with range pruning. Only the targets' postings are counted."""
+    docs, t = table(spark, d, "documents"), checkpoint(seek_targets(spark, d), "targets")
+    return lookup.seek_exact(t, terms.field_bounds(docs), terms.wanted_terms(docs, t))
 
 
 @query("SELECT o_orderkey AS k, n_name AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -123,14 +110,12 @@ def singleton_docs(spark, d):
 SELECT block, min(i) AS first_rank, count(*) AS run_length FROM o WHERE single GROUP BY block, i - j""")
 def singleton_runs(spark, d):
     """Runs of consecutive terms that occur once, inside blocks of one first character."""
-    t = _dict(spark, d).select(F.left("term", F.lit(1)).alias("block"), "term", ((F.col("doc_freq") == 1) & (F.col("total_term_freq") == 1)).alias("single"))
-    t = t.withColumns({"i": F.row_number().over(W.partitionBy("block").orderBy("term")).cast("long"), "j": F.row_number().over(W.partitionBy("block", "single").orderBy("term")).cast("long")})
-    return t.filter("single").groupBy("block", F.expr("i - j")).agg(F.min("i").alias("first_rank"), F.count("*").alias("run_length")).select("block", "first_rank", "run_length")
+    return terms.singleton_runs(_dict(spark, d))
 
 
 @query(f"WITH {TOK} SELECT term, doc_freq > 128 AS has_skip, total_term_freq > 128 AS has_blocks FROM td WHERE total_term_freq > 128")
 def long_postings(spark, d):
-    return _dict(spark, d).filter(F.col("total_term_freq") > terms.BLOCK).select("term", (F.col("doc_freq") > terms.BLOCK).alias("has_skip"), (F.col("total_term_freq") > terms.BLOCK).alias("has_blocks"))
+    return terms.long_postings(_dict(spark, d))
 
 
 @query(f"WITH {TOK} SELECT * FROM post")
@@ -145,8 +130,7 @@ def postings_delta(spark, d):
 
 @query(f"WITH {TOK} SELECT left(term, 1) AS block, term, coalesce(sum(doc_freq) OVER (PARTITION BY left(term, 1) ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM td")
 def postings_start_offsets(spark, d):
-    w = W.partitionBy("block").orderBy("term").rowsBetween(W.unboundedPreceding, -1)
-    return _dict(spark, d).withColumn("block", F.left("term", F.lit(1))).select("block", "term", F.coalesce(F.sum("doc_freq").over(w), F.lit(0)).alias("start"))
+    return terms.start_offsets(_dict(spark, d))
 
 
 _BLOCKS = f"{TOK}, de AS (SELECT term, doc - lag(doc, 1, 0) OVER (PARTITION BY term ORDER BY doc) AS delta, (row_number() OVER (PARTITION BY term ORDER BY doc) - 1) // 128 AS block FROM post)"
@@ -189,22 +173,19 @@ _LCP = "list_max(list_filter(range(least(length(term), length(before)) + 1), lam
 
 @query(f"WITH {TOK}, o AS (SELECT term, lag(term, 1, '') OVER (PARTITION BY left(term, 1) ORDER BY term) AS before FROM td), p AS (SELECT term, {_LCP} AS shared FROM o) SELECT term, shared::BIGINT AS shared, substr(term, shared::INT + 1) AS rest FROM p")
 def shared_prefix(spark, d):
-    t = _dict(spark, d).select("term", F.lag("term", 1, "").over(W.partitionBy(F.left("term", F.lit(1))).orderBy("term")).alias("before"))
-    t = t.withColumn("shared", bits.common_prefix_length(F.col("term"), F.col("before")))
-    return t.select("term", "shared", F.substr("term", (F.col("shared") + 1).cast("int")).alias("rest"))
+    return terms.shared_prefixes(_dict(spark, d))
 
 
-_PRE = f"{TOK}, pre AS (SELECT term, total_term_freq AS output, unnest(range(1, length(term) + 1)) AS depth FROM td), pot AS (SELECT left(term, depth::INT) AS prefix, min(output) AS potential FROM pre GROUP BY 1)"
+_PRE = f"{TOK}, pre AS (SELECT term, total_term_freq AS output, unnest(range(1, length(term) + 1)) AS depth FROM td), pot AS MATERIALIZED (SELECT left(term, depth::INT) AS prefix, min(output) AS potential, left(left(term, depth::INT), depth::INT - 1) AS above FROM pre GROUP BY ALL)"
 
 
 @query(f"WITH {_PRE} SELECT DISTINCT left(prefix, length(prefix)::INT - 1) AS node, right(prefix, 1) AS label FROM pot")
 def trie_edges(spark, d):
-    p = lookup.prefixes(_dict(spark, d), "term").select("prefix").distinct()
-    return p.select(F.left("prefix", F.length("prefix") - 1).alias("node"), F.right("prefix", F.lit(1)).alias("label"))
+    return fst.trie_edges(_dict(spark, d))
 
 
-_ARCS = f"""WITH {_PRE}, arc AS (SELECT left(p.prefix, length(p.prefix)::INT - 1) AS node, right(p.prefix, 1) AS label, p.prefix AS target, (p.potential - coalesce(q.potential, 0))::BIGINT AS output, (td.total_term_freq - p.potential)::BIGINT AS final_output
-FROM pot p LEFT JOIN pot q ON q.prefix = left(p.prefix, length(p.prefix)::INT - 1) LEFT JOIN td ON td.term = p.prefix)"""
+_ARCS = f"""WITH {_PRE}, arc AS (SELECT p.above AS node, right(p.prefix, 1) AS label, p.prefix AS target, (p.potential - coalesce(q.potential, 0))::BIGINT AS output, (td.total_term_freq - p.potential)::BIGINT AS final_output
+FROM pot p LEFT JOIN pot q ON q.prefix = p.above LEFT JOIN td ON td.term = p.prefix)"""
 
 
 @query(f"{_ARCS} SELECT * FROM arc")
@@ -216,9 +197,9 @@ _SLCP = "list_max(list_filter(range(least(length(lo), length(hi)) + 1), lambda i
 
 
 @query(f"""WITH {TOK}, e AS (SELECT term, 's' || total_term_freq AS output FROM td), pre AS (SELECT term, output, unnest(range(1, length(term) + 1)) AS depth FROM e),
-lh AS (SELECT left(term, depth::INT) AS prefix, min(output) AS lo, max(output) AS hi FROM pre GROUP BY 1), pot AS (SELECT prefix, left(lo, {_SLCP}) AS potential FROM lh)
-SELECT left(p.prefix, length(p.prefix)::INT - 1) AS node, right(p.prefix, 1) AS label, p.prefix AS target, substr(p.potential, length(coalesce(q.potential, ''))::INT + 1) AS output, substr(e.output, length(p.potential)::INT + 1) AS final_output
-FROM pot p LEFT JOIN pot q ON q.prefix = left(p.prefix, length(p.prefix)::INT - 1) LEFT JOIN e ON e.term = p.prefix""")
+lh AS MATERIALIZED (SELECT left(term, depth::INT) AS prefix, min(output) AS lo, max(output) AS hi FROM pre GROUP BY 1), pot AS MATERIALIZED (SELECT prefix, left(prefix, length(prefix)::INT - 1) AS above, left(lo, {_SLCP}) AS potential FROM lh)
+SELECT p.above AS node, right(p.prefix, 1) AS label, p.prefix AS target, substr(p.potential, length(coalesce(q.potential, ''))::INT + 1) AS output, substr(e.output, length(p.potential)::INT + 1) AS final_output
+FROM pot p LEFT JOIN pot q ON q.prefix = p.above LEFT JOIN e ON e.term = p.prefix""")
 def fst_string_outputs(spark, d):
     return fst.arcs(_dict(spark, d).select("term", F.concat(F.lit("s"), F.col("total_term_freq").cast("string")).alias("output")), fst.Strings)
 
@@ -248,9 +229,13 @@ def fst_match_key(spark, d):
     return lookup.match_key(_queries(spark, d), _entries(spark, d))
 
 
-@query()
+@query(f"""WITH {TOK}, pre AS (SELECT term, total_term_freq AS output, unnest(range(0, length(term) + 1)) AS depth FROM td),
+pot AS (SELECT left(term, depth::INT) AS prefix, min(output) AS low FROM pre GROUP BY 1),
+sig AS (SELECT left(pre.term, pre.depth::INT) AS prefix, count(*) AS keys, string_agg(substr(pre.term, pre.depth::INT + 1) || ':' || (pre.output - pot.low), ',' ORDER BY pre.term) AS signature FROM pre JOIN pot ON pot.prefix = left(pre.term, pre.depth::INT) GROUP BY 1)
+SELECT keys, count(DISTINCT signature) AS states, count(*) AS nodes FROM sig GROUP BY keys""")
 def fst_minimal_states(spark, d):
-    return fst.minimal_states(table(spark, d, "part").select(F.lower("p_type").alias("term")).groupBy("term").agg(F.count("*").alias("output")), checkpoint)
+    """States of the minimal transducer of the whole dictionary, by how many keys lie below them."""
+    return fst.state_classes(_entries(spark, d))
 
 
 @query(f"""{_ARCS} SELECT '"' || node || '" -> "' || target || '" [label="' || label || '/' || output || '"' || CASE WHEN final_output IS NOT NULL THEN ' peripheries=2' ELSE '' END || ']' AS line FROM arc""")
@@ -279,39 +264,51 @@ def byte_functions(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), bits.hex_pairs(b).alias("pairs"), bits.byte_list(b).alias("bytes"), F.decode(bits.reversed_bytes(b), "UTF-8").alias("backward"))
 
 
-@query(f"WITH {_N} SELECT k, n AS back, true AS sizes_agree FROM n")
+@query(f"""WITH {_N}, s AS (SELECT k, unnest([n, -n]) AS n FROM n), u AS (SELECT k, n, CASE WHEN n < 0 THEN n + 4294967296 ELSE n END AS u FROM s), z AS (SELECT *, CASE WHEN u = 0 THEN 1 ELSE (length(ltrim(bin(u), '0')) + 6) // 7 END AS size FROM u)
+SELECT k, n, list_aggregate(list_transform(range(size), lambda i: printf('%02X', ((u >> (7 * i)::INT) & 127) + CASE WHEN i < size - 1 THEN 128 ELSE 0 END)), 'string_agg', '') AS bytes, u AS back, size FROM z""")
 def vint_round_trip(spark, d):
-    v = _keys(spark, d).withColumn("v", bits.vint(F.col("n")))
-    return v.select("k", bits.unvint(F.col("v")).alias("back"), (F.length("v") / 2 == bits.vint_length(F.col("n"))).alias("sizes_agree"))
+    v = _keys(spark, d).select("k", F.explode(F.array("n", -F.col("n"))).alias("n")).withColumn("v", bits.vint(F.col("n")))
+    return v.select("k", "n", F.col("v").alias("bytes"), bits.unvint(F.col("v")).alias("back"), bits.vint_length(F.col("n")).alias("size"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS line, (l_linenumber * 65536 + l_quantity::BIGINT * 256 + l_linenumber)::BIGINT AS word, true AS back FROM lineitem")
+@query("SELECT l_orderkey AS k, l_linenumber AS line, (l_linenumber * 65536 + l_quantity::BIGINT * 256 + l_linenumber)::BIGINT AS word, [l_linenumber::BIGINT, l_quantity::BIGINT, l_linenumber::BIGINT] AS back FROM lineitem")
 def lane_packing(spark, d):
     items = F.array(*[F.col(c).cast("long") for c in ("l_linenumber", "l_quantity", "l_linenumber")])
     p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), items.alias("items")).withColumn("word", bits.packed_long(F.col("items"), 8))
-    return p.select("k", "line", "word", (bits.unpacked_long(F.col("word"), 8, 3) == F.col("items")).alias("back"))
+    return p.select("k", "line", "word", bits.unpacked_long(F.col("word"), 8, 3).alias("back"))
 
 
-_ODD = "list_filter(range(1, length(p_name) + 1), lambda i: NOT (ascii(substr(p_name, i::INT, 1)) BETWEEN 31 AND 62 OR ascii(substr(p_name, i::INT, 1)) BETWEEN 95 AND 126))"
+_BYTES = """WITH b AS (SELECT row_number() OVER () AS r, {id}, coalesce({text}, '') AS t, regexp_extract_all(hex(encode(coalesce({text}, ''))), '..') AS x FROM {table}),
+o AS (SELECT *, list_filter(range(len(x)), lambda i: NOT (x[i + 1] BETWEEN '1F' AND '3E' OR x[i + 1] BETWEEN '5F' AND '7E')) AS odd FROM b),
+c AS (SELECT *, len(x) AS n, len(odd) + coalesce(list_sum(list_transform(range(len(odd)), lambda j: greatest(odd[j + 1] - CASE WHEN j = 0 THEN 0 ELSE odd[j] END - 1, 0) // 255)), 0) AS exceptions FROM o),
+z AS (SELECT {id}, t, n, (n - n // 4 + CASE WHEN exceptions < 128 THEN 1 WHEN exceptions < 16384 THEN 2 ELSE 3 END + 2 * exceptions)::BIGINT AS packed FROM c)"""
 
 
-@query(f"SELECT p_partkey AS k, len({_ODD}) AS exceptions, (length(p_name) * 6 + 7) // 8 AS packed_bytes FROM part")
+@query(_BYTES.format(id="p_partkey", text="p_name", table="part") + " SELECT p_partkey AS k, packed AS bytes FROM z")
 def ascii_exceptions(spark, d):
-    codes = F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), lambda c: F.ascii(c))
-    odd = F.filter(codes, lambda c: ~(c.between(31, 62) | c.between(95, 126)))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.size(odd).cast("long").alias("exceptions"), F.expr("(length(p_name) * 6 + 7) div 8").alias("packed_bytes"))
+    """Exceptions of the codec, with those that only bridge a gap, and its size."""
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.encode("p_name", "UTF-8").alias("b"))
+    return codecs.round_trips(b, "b").select("k", F.col("lowercase_ascii_bytes").alias("bytes"))
 
 
-@query("SELECT doc_id, true AS ascii_ok, true AS lz4_ok FROM documents")
+@query(_BYTES.format(id="doc_id", text="text", table="documents") + " SELECT doc_id, n AS none_bytes, sha256(t) AS none_sha256, packed AS lowercase_ascii_bytes, sha256(t) AS lowercase_ascii_sha256, sha256(t) AS lz4_sha256 FROM z")
 def byte_codec_round_trip(spark, d):
+    """What each codec gives back of whole texts, and the sizes of its bytes."""
     b = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
-    return b.select("doc_id", (codecs.ascii_round("b") == F.col("b")).alias("ascii_ok"), (codecs.lz4_round("b") == F.col("b")).alias("lz4_ok"))
+    return codecs.round_trips(b, "b").drop("lz4_bytes")
 
 
-@query("SELECT block, count(*) AS entries, true AS back, true AS smaller FROM (SELECT (o_orderkey // 128)::BIGINT AS block FROM orders) GROUP BY block")
+@query("""WITH v AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 128 AS block, o_orderkey, o_custkey % 512 + CASE WHEN o_orderkey % 61 = 0 THEN o_custkey % 7 * 4096 ELSE 0 END AS v FROM orders),
+b AS (SELECT block, list(v ORDER BY o_orderkey) AS back, list_reverse_sort(list(v)) AS top FROM v GROUP BY block HAVING count(*) = 128),
+w AS (SELECT *, greatest(1, length(ltrim(bin(top[8]), '0')), length(ltrim(bin(top[1]), '0')) - 8) AS width FROM b),
+x AS (SELECT *, len(list_filter(back, lambda x: x >> width::INT > 0)) AS odd, top[1] < 256 AND len(list_distinct(list_transform(back, lambda x: x & ((1 << width::INT) - 1)))) = 1 AS equal FROM w)
+SELECT block, (odd * 32 + CASE WHEN equal THEN 0 ELSE width END)::BIGINT AS token, (1 + CASE WHEN equal THEN 1 ELSE 16 * width END + 2 * odd)::BIGINT AS bytes, back FROM x""")
 def pfor_round_trip(spark, d):
-    g = table(spark, d, "orders").select(F.expr("o_orderkey div 128").alias("block"), F.struct("o_orderkey", (F.col("o_custkey") % 512).alias("v")).alias("s")).groupBy("block").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("v"))
-    return g.select("block", F.size("v").cast("long").alias("entries"), (codecs.pfor_round("v") == F.col("v")).alias("back"), (codecs.pfor_size("v") <= 16 + 2 * F.size("v")).alias("smaller"))
+    """Full blocks of 128 numbers, some far above the others, as patched frames and back."""
+    v = F.col("o_custkey") % 512 + F.when(F.col("o_orderkey") % 61 == 0, F.col("o_custkey") % 7 * 4096).otherwise(0)
+    o = terms.numbered(table(spark, d, "orders").select("o_orderkey", v.alias("v")), "o_orderkey")
+    g = o.groupBy(F.expr("number div 128").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "v"))), lambda s: s["v"]).alias("v")).filter(F.size("v") == codecs.BLOCK)
+    return codecs.packed_blocks(g, "v")
 
 
 @query("""SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 1 THEN 'name: expected Terms, found Other' WHEN s_suppkey % 7 NOT BETWEEN 2 AND 6 THEN 'version: expected 2..6, found ' || s_suppkey % 7 WHEN s_suppkey % 3 = 0 THEN 'id: expected AB, found CD' WHEN s_suppkey % 4 = 0 THEN 'suffix: expected s0, found s1' END AS error, s_suppkey % 2 = 0 AS footer FROM supplier""")
@@ -347,6 +344,9 @@ def list_functions(spark, d):
     return t.select("k", F.size(c).cast("long").alias("pieces"), F.array_join(F.get(c, 1), "").alias("second"), F.array_join(F.slice("a", 1, 3), "").alias("taken"), F.array_join(F.slice("a", 4, 1 << 30), "").alias("dropped"), F.element_at("a", -1).alias("last"), (F.array_position("a", "#") - 1).alias("index_of"))
 
 
+from termloom import byte_queries  # noqa: E402, F401  (adds its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
