@@ -1,6 +1,6 @@
 """64-bit hashes of words and of runs of words, for whole batches of UTF-8 texts with numpy.
 
-A word's hash is a sum of one pseudo-random number for each of its bytes, told by the byte and its place in the
+A word's hash is a sum of one pseudo-random number for every eight bytes, told by these and their place in the
 word, so that no algebraic identity (as of polynomials modulo 2^64) makes two words equal. A window of a few words
 is a polynomial over mixed word hashes. Each family is independent of the others, and a bijective mixer follows each
 level.
@@ -20,8 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text hashed at once.
 CHUNK = 2 << 20
-#: Places whose numbers are held in a table; those further out are computed.
-PLACES = 64
+#: Bytes from which a word is hashed by itself.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _numbers(byte_and_place: np.ndarray, family: int) -> np.ndarray:
-    """The number of each (place << 8 | byte)."""
-    return mix(mix(byte_and_place + np.uint64(BASES[family])) ^ np.uint64(BASES[1 - family]))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-@cache
-def _table(family: int) -> np.ndarray:
-    return _numbers(np.arange(PLACES << 8, dtype=np.uint64), family)
+def _number(lane: np.ndarray, place: np.ndarray | int, family: int) -> np.ndarray:
+    """The number of eight bytes at a place (counted from 1 in steps of eight)."""
+    shift = np.uint64(place * 0xA0761D6478BD642F % (1 << 64)) if isinstance(place, int) else place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    return mix(mix(lane + np.uint64(BASES[family])) + shift)
 
 
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,19 +49,21 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
-    """Hashes of the words raw[start:end]; words don't overlap and are in order."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    kind = np.int32 if len(raw) < 1 << 22 else np.int64
-    first = np.zeros(len(raw), kind)
-    first[start] = start
-    key = (np.arange(len(raw), dtype=kind) - np.maximum.accumulate(first)) << 8 | raw
-    far = np.flatnonzero(key >= PLACES << 8)
-    values = _table(family)[key & ((PLACES << 8) - 1)]
-    values[far] = _numbers(key[far].astype(np.uint64), family)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values, out=total[1:])
-    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Hashes of the words raw[start:end]."""
+    lanes = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).data, strides=(1,))
+    size = end - start
+    total = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for i in np.flatnonzero(size > LONG).tolist():
+        at = np.arange(start[i], end[i], 8)
+        total[i] += _number(lanes[at] & _MASKS[np.minimum(end[i] - at, 8)], np.arange(1, len(at) + 1), family).sum(dtype=np.uint64)
+    who = np.flatnonzero(size <= LONG) if (size > LONG).any() else slice(None)
+    at, left, place = start[who], size[who], 1
+    while len(at):
+        total[who] += _number(lanes[at] & _MASKS[np.minimum(left, 8)], place, family)
+        more = np.flatnonzero(left > 8)
+        who = more if isinstance(who, slice) else who[more]
+        at, left, place = at[more] + 8, left[more] - 8, place + 1
+    return mix(total)
 
 
 def word_hashes(texts: list[bytes], lower: bool = False, family: int = 0) -> tuple[np.ndarray, np.ndarray]:

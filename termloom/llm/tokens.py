@@ -1,28 +1,39 @@
 """Token ids of whole texts for the lower-casing word BPE tokenizer, exactly as its library gives them.
 
 No match of that tokenizer's patterns crosses white space, so each distinct word is encoded once per Python
-worker and remembered, in a table of bounded size. Distinct runs of letters, digits or signs are merged for
-a whole batch at a time with numpy, by the tokenizer's own list of merges; words with characters that need
-its normaliser (or special tokens) go through the library itself.
+worker and remembered by 128 bits of hash, some 50 bytes a word, in tables of bounded size. New words are lower-cased, cut
+into runs of letters, digits or signs and merged for a whole batch at a time with numpy, by the tokenizer's own list of
+merges; words with characters that need its normaliser (or special tokens) go through the library itself.
 """
 
 from __future__ import annotations
 
-import gc
 import json
-import re
 from functools import cache
 
 import numpy as np
 import regex
 
-#: Characters for which lower-casing is all that the normaliser does; no apostrophe, as contractions split on it.
-PLAIN = re.compile(r"[!-&(-~\xa1-\u012f\u0131-\u017f]+")
-_LETTERS, _DIGITS = ("".join(re.escape(c) for c in map(chr, range(0x21, 0x180)) if regex.fullmatch(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
-#: The tokenizer's pattern for words that PLAIN takes.
-PIECES = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
-#: Words remembered per worker; then the table starts anew.
-MOST_WORDS = 500_000
+from .hashing import span_hashes, split_texts
+
+#: Code points below which lower-casing is all that the normaliser does; but for an apostrophe, as contractions split on it, and those named.
+PLAIN_BELOW = 0x180
+NOT_PLAIN = "'" + "".join(map(chr, range(0x7F, 0xA1))) + "\u0130"
+#: Words remembered per worker; then the tables start anew.
+MOST_WORDS = 1_000_000
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 0
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point below PLAIN_BELOW (and one for all others): its kind, its lower-case form."""
+    kinds, lower = np.zeros(PLAIN_BELOW + 1, np.int8), np.arange(PLAIN_BELOW + 1, dtype=np.uint32)
+    for i in range(0x21, PLAIN_BELOW):
+        c = chr(i)
+        if c not in NOT_PLAIN:
+            kinds[i] = LETTER if regex.fullmatch(r"\p{L}", c) else DIGIT if regex.fullmatch(r"\p{N}", c) else SIGN
+            lower[i] = ord(c.lower())
+    return kinds, lower
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,8 +95,7 @@ class WordBpe:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = _Numbers()
-        self.pieces: dict[str, int] = _Numbers()
+        self.words, self.pieces = KeyTable(), KeyTable()
         self.piece_ids, self.word_ids = _Lists(), _Lists()
 
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,32 +180,43 @@ class WordBpe:
 
     def learn(self, new: list[bytes]) -> None:
         """Append the ids of new words, which have the next numbers."""
-        parts_of, split, number = PLAIN.fullmatch, PIECES.findall, self.pieces.__getitem__
-        self.pieces.new = []
-        parts: list[int] = []
-        count, other = [], []
-        for i, w in enumerate(new):
-            s = w.decode("utf-8", "replace")
-            if parts_of(s) and "<|" not in s:
-                own = split(s.lower())
-                parts += map(number, own)
-                count.append(len(own))
-            else:
-                other.append((i, s))
-                count.append(0)
-        ids, sizes = self.merged([p.encode() for p in self.pieces.new])
-        self.piece_ids.add(ids, sizes)
-        size, start = np.zeros(len(new), np.int64), np.cumsum(count) - count
-        parts_at = np.array(parts, np.int64)
-        per_part = self.piece_ids.count[parts_at]
-        before = np.concatenate([[0], np.cumsum(per_part)])
-        size[:] = before[start + count] - before[start]
-        flat = self.piece_ids.flat[spread(self.piece_ids.start[parts_at], per_part)]
-        if other:
-            held = np.split(flat, np.cumsum(size)[:-1])
+        kinds, lower = _letters()
+        every = np.frombuffer(b" ".join(new).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        point = np.minimum(every, PLAIN_BELOW)
+        ends = np.append(np.flatnonzero(every == 32), len(every))
+        starts = np.append(0, ends[:-1] + 1)
+        kind = kinds[point]
+        # Words that need the library: a character that is not plain, or the beginning of a special token.
+        odd = (kind == OTHER) & (every != 32)
+        odd[:-1] |= (every[:-1] == 60) & (every[1:] == 124)
+        bad = np.add.reduceat(odd.astype(np.int64), starts) > 0
+        plain = np.ones(len(every), bool)
+        for a, b in zip(starts[bad].tolist(), ends[bad].tolist(), strict=True):
+            plain[a:b] = False
+        plain &= every != 32
+        # A piece starts where a word does, at every digit, and where the kind changes.
+        begins = plain.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | ~plain[:-1]
+        at = np.flatnonzero(begins)
+        word = np.searchsorted(starts, at, "right") - 1
+        # The pieces' lower-case UTF-8, each with a blank behind it.
+        keep = np.flatnonzero(plain)
+        text = np.full(len(keep) + len(at), 32, "<u4")
+        text[np.arange(len(keep)) + np.cumsum(begins[keep]) - 1] = lower[point[keep]]
+        raw = np.frombuffer(text.tobytes().decode("utf-32-le").encode(), np.uint8)
+        stop = np.flatnonzero(raw == 32)
+        begin = np.append(0, stop[:-1] + 1) if len(stop) else stop
+        number, first = self.pieces.numbers(span_hashes(raw, begin, stop, 0), span_hashes(raw, begin, stop, 1))
+        data = raw.tobytes()
+        self.piece_ids.add(*self.merged([data[begin[i] : stop[i]] for i in first.tolist()]))
+        per_piece = self.piece_ids.count[number]
+        flat = self.piece_ids.flat[spread(self.piece_ids.start[number], per_piece)]
+        size = np.bincount(word, per_piece, len(new)).astype(np.int64)
+        if bad.any():
+            held, other = np.split(flat, np.cumsum(size)[:-1]), np.flatnonzero(bad).tolist()
             for k in range(0, len(other), 1000):
                 some = other[k : k + 1000]
-                for (i, _), e in zip(some, self.library.encode_batch_fast([s for _, s in some], add_special_tokens=False), strict=True):
+                for i, e in zip(some, self.library.encode_batch_fast([new[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
                     held[i] = np.array(e.ids, np.int32)
                     size[i] = len(held[i])
             flat = np.concatenate(held)
@@ -203,49 +224,82 @@ class WordBpe:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
-        gc.disable()  # nothing here is cyclic, and each pass would walk the tables
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) > MOST_WORDS:
-            self.clear()
         out: list[np.ndarray] = []
-        lo = 0
-        while lo < len(texts):  # a few MB of text at a time
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 4 << 20):
-                size += len(texts[hi])
-                hi += 1
-            words: list[bytes] = []
-            ends = []
-            for t in texts[lo:hi]:
-                words += t.split()
-                ends.append(len(words))
-            self.words.new = []
-            number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            if self.words.new:
-                self.learn(self.words.new)
+        for raw, start, end, counts in split_texts(texts):
+            if len(self.words) > MOST_WORDS:
+                self.clear()
+            number, first = self.words.numbers(span_hashes(raw, start, end, 0), span_hashes(raw, start, end, 1))
+            if len(first):
+                data = raw.tobytes()
+                self.learn([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
             count = self.word_ids.count[number]
             flat = self.word_ids.flat[spread(self.word_ids.start[number], count)]
-            cut = np.concatenate([[0], np.cumsum(count)])[[0, *ends]]
-            out += [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            lo = hi
+            cut = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(counts)])]
+            out += [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return out
 
 
-class _Numbers(dict):
-    """Gives every new key the next number and lists it in new."""
+class KeyTable:
+    """Numbers for keys of 128 bits in the order of their first appearance: open addressing over whole arrays."""
 
     def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+        self.bits, self.used = 12, 0
+        self.slots = np.full((1 << self.bits) + 64, -1, np.int32)
+        self.keys, self.checks = np.zeros(1 << 11, np.uint64), np.zeros(1 << 11, np.uint64)
+
+    def __len__(self) -> int:
+        return self.used
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each key, -1 for unknown ones, and the free slot that ended the search."""
+        out, at = np.full(len(key), -1), (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(key))
+        while len(open_):
+            held = self.slots[at[open_]]
+            hit = (held >= 0) & (self.keys[held] == key[open_]) & (self.checks[held] == check[open_])
+            out[open_[hit]] = held[hit]
+            open_ = open_[(held >= 0) & ~hit]
+            at[open_] = (at[open_] + 1) % len(self.slots)
+        return out, at
+
+    def numbers(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each key; for the new ones, which are numbered on, the places of their first appearance."""
+        out, _ = self._find(key, check)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out, missing
+        _, first, group = np.unique(key[missing], return_index=True, return_inverse=True)
+        # Keys that differ in the second half alone get numbers of their own each time.
+        same = check[missing] == check[missing[first]][group]
+        order = np.argsort(first)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        own = missing[~same]
+        places = np.concatenate([missing[first[order]], own])
+        out[missing[same]] = self.used + rank[group[same]]
+        out[own] = self.used + len(order) + np.arange(len(own))
+        self._add(key[places], check[places], len(order))
+        return out, places
+
+    def _add(self, key: np.ndarray, check: np.ndarray, stored: int) -> None:
+        while self.used + len(key) > len(self.keys):
+            self.keys, self.checks = (np.concatenate([x, np.zeros(len(x), np.uint64)]) for x in (self.keys, self.checks))
+        fresh = np.arange(self.used, self.used + stored)
+        self.keys[self.used : self.used + len(key)], self.checks[self.used : self.used + len(key)] = key, check
+        self.used += len(key)
+        if 2 * self.used > 1 << self.bits:
+            while 2 * self.used > 1 << self.bits:
+                self.bits += 1
+            self.slots = np.full((1 << self.bits) + 64, -1, np.int32)
+            fresh = np.arange(self.used)
+        while len(fresh):
+            _, at = self._find(self.keys[fresh], self.checks[fresh])
+            free, first = np.unique(at, return_index=True)
+            self.slots[free] = fresh[first]
+            fresh = np.delete(fresh, first)
+            if len(fresh):  # a number that an equal key has taken is not stored again
+                known, _ = self._find(self.keys[fresh], self.checks[fresh])
+                fresh = fresh[known < 0]
 
 
 class _Lists:
