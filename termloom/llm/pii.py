@@ -9,10 +9,14 @@ the label reaches every repeat alike, and the same number in another spelling of
 word weigh the scores of all their words. Damped loopy message passing over all documents of a batch, each
 until it has converged, gives each word's marginals.
 
+A number in several words ("49 170 1234567") is a node of its own where its digits are a key that the document has
+elsewhere as well. Beside the four kinds of the patterns the field labels secrets: long random strings, as tokens and keys.
+
 Weights are fitted by logistic regression on sentences drawn by a seeded generator of ``TRAINING_SENTENCES``
 sentences; no corpus is read. The skip potential is fitted after them, in the same way, to repeats of the
 sentences' words without their cues. These keep their labels always, so the penalty and the number of steps
-bound it. The chain potential, and that of held words, are set by hand.
+bound it. The chain potential is fitted by pseudo-likelihood to lists, where two words of three have their
+neighbour's kind. Only the weight of held words is set by hand.
 
 Defined results: a null or empty text has no spans; repeated rows are searched each; all searches are
 linear in the text; an empty table gives no rows; extra columns are kept by ``mask`` and not read.
@@ -20,7 +24,9 @@ linear in the text; an empty table gives no rows; extra columns are kept by ``ma
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 import warnings
@@ -36,6 +42,8 @@ from pyspark.sql import types as T
 from .common import text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the field: those of the patterns, and one that only the field knows.
+LABELS = (*KINDS, "secret")
 TRAINING_SENTENCES, SEED = 3000, 7
 #: Least marginal of a span that the field adds.
 LEAST_MARGINAL = 0.9
@@ -49,6 +57,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _MARK = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_RANDOM = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{20,}+")
+_HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{24,}+|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{24,}+")
+#: Words of a number at most.
+MOST_PARTS = 6
+_PART = re.compile(r"[^0-9A-Za-z@]*+[0-9][0-9().+/-]*+[^0-9A-Za-z@]*+")
 _TRIM = re.compile(r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$")
 
 
@@ -94,7 +107,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 #: Words that hint at a kind, looked for in the two words before.
-CUES = (("mail", "email", "e-mail", "contact", "write"), ("ip", "server", "host", "address", "from"), ("card", "visa", "credit", "pay", "account"), ("phone", "tel", "call", "fax", "mobile"))
+CUES = (("mail", "email", "e-mail", "contact", "write"), ("ip", "server", "host", "address", "from"), ("card", "visa", "credit", "pay", "account"), ("phone", "tel", "call", "fax", "mobile"), ("token", "key", "secret", "password", "apikey"))
 _BARE = re.compile(r"[^a-z-]+")
 
 
@@ -108,14 +121,14 @@ def features(word: str, before: tuple[str, ...]) -> list[int]:
     at = w.find("@")
     flags = (
         0 < at < len(w) - 1, at > 0 and "." in w[at:], w.startswith("+"), not letters and n > 0, letters > 0 and n > 0, "-" in w, "(" in word, len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts),
-        13 < n < 20 and luhn(digits), "=" in w, "/" in w, ":" in w,
+        13 < n < 20 and luhn(digits), "=" in w, "/" in w, ":" in w, _RANDOM.fullmatch(w) is not None, _HEX.fullmatch(w) is not None,
     )
     out += [9 + i for i, x in enumerate(flags) if x]
     cues = {_BARE.sub("", b.lower()) for b in before}
-    return out + [9 + len(flags) + k for k in range(4) if cues & set(CUES[k])]
+    return out + [9 + len(flags) + k for k in range(5) if cues & set(CUES[k])]
 
 
-N_FEATURES, N_LABELS = 9 + 12 + 4, 5
+N_FEATURES, N_LABELS = 9 + 14 + 5, 6
 
 
 def skip_key(word: str) -> str:
@@ -125,8 +138,8 @@ def skip_key(word: str) -> str:
     return digits if len(digits) >= 9 and not any(c.isalpha() for c in w) else w
 
 
-def training_sentences(n: int, seed: int) -> Iterator[tuple[list[str], list[int]]]:
-    """Invented sentences with labels 0 (outside) or 1 + kind."""
+def training_sentences(n: int, seed: int, lists: bool = False) -> Iterator[tuple[list[str], list[int]]]:
+    """Invented sentences (or lists of two neighbours) with labels 0 (outside) or 1 + kind."""
     r = random.Random(seed)
     syllables = ("an", "ter", "lo", "mi", "re", "sta", "ven", "or", "du", "kel")
     word = lambda: "".join(r.choices(syllables, k=r.randint(1, 3)))
@@ -143,12 +156,19 @@ def training_sentences(n: int, seed: int) -> Iterator[tuple[list[str], list[int]
     found = (
         lambda: f"{word()}.{word()}@{word()}.com", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), card,
         lambda: r.choice(("+{}{}{}", "{}-{}-{}", "+{}-{}-{}", "({}){}-{}")).format(number(3), number(3), number(r.randint(4, 6))),
+        lambda: "".join(r.choices("0123456789abcdef", k=r.randint(32, 64))) if r.random() < 0.5 else "".join(r.choices("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=r.randint(24, 48))),
     )
+    if lists:
+        for _ in range(n):
+            kind = r.randint(1, 5)
+            labels = [kind, kind if r.random() < 2 / 3 else r.choice([k for k in range(6) if k != kind])]
+            yield [found[k - 1]() if k else r.choice(plain)() for k in labels], labels
+        return
     for _ in range(n):
         words, labels = [], []
         for _ in range(r.randint(2, 6)):
             words += [word() for _ in range(r.randint(1, 4))]
-            kind = r.choice((0, 0, 0, 1, 2, 3, 4))
+            kind = r.choice((0, 0, 0, 1, 2, 3, 4, 5))
             if kind and r.random() < 0.6:
                 words.append(r.choice(CUES[kind - 1]))
             labels += [0] * (len(words) - len(labels))
@@ -167,16 +187,29 @@ def fitted(sentences: int = TRAINING_SENTENCES, seed: int = SEED) -> tuple[np.nd
                 rows.append(features(w, tuple(words[max(0, i - 2) : i])))
                 labels.append(y)
                 again.append(features(skip_key(w), ()))
-    x = np.zeros((len(rows), N_FEATURES))
-    for i, f in enumerate(rows):
-        x[i, f] = 1
-    y = np.eye(N_LABELS)[labels]
+    # Equal rows of features are one, with the shares of its labels.
+    kinds = sorted({tuple(f) for f in rows})
+    number = {f: k for k, f in enumerate(kinds)}
+    x, y = np.zeros((len(kinds), N_FEATURES)), np.zeros((len(kinds), N_LABELS))
+    for k, f in enumerate(kinds):
+        x[k, list(f)] = 1
+    for f, label in zip(rows, labels, strict=True):
+        y[number[tuple(f)], label] += 1 / len(rows)
+    share = y.sum(1, keepdims=True)
     w = np.zeros((N_FEATURES, N_LABELS))
     for _ in range(400):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
-        w -= 2.0 * (x.T @ (p / p.sum(1, keepdims=True) - y) / len(x) + 1e-5 * w)
-    chain = np.where(np.eye(N_LABELS, dtype=bool), 0.2, 0.0)
+        w -= 2.0 * (x.T @ (share * p / p.sum(1, keepdims=True) - y) + 1e-5 * w)
+    y = np.eye(N_LABELS)[labels]
+    pairs = [(features(v, ()), features(u, (v,)), k, m) for (v, u), (k, m) in training_sentences(sentences, seed + 1, True) if _MARK.search(v) and _MARK.search(u) and k]
+    second, chained = np.stack([w[f].sum(0) for _, f, _, _ in pairs]), 0.0
+    first, truth = np.eye(N_LABELS)[[k for _, _, k, _ in pairs]], np.eye(N_LABELS)[[m for _, _, _, m in pairs]]
+    for _ in range(400):
+        z = second + chained * first
+        p = np.exp(z - z.max(1, keepdims=True))
+        chained += 2.0 * ((first * (truth - p / p.sum(1, keepdims=True))).sum(1).mean() - 1e-5 * chained)
+    chain = np.where(np.eye(N_LABELS, dtype=bool), chained, 0.0)
     chain[0, 0] = 0.0
     scores, skip = np.stack([w[f].sum(0) for f in again]), 0.0
     for _ in range(400):
@@ -242,6 +275,7 @@ def find_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray
         ties: dict[str, list[int]] = {}
         # Labels that the patterns tell of a key, by the key of the span or of a word in it.
         known: dict[str, np.ndarray] = {}
+        parts: list[tuple[int, int, int, str, tuple]] = []  # words that may be parts of a number: place, start, end, digits, words before
         for a, kind, b in own:
             key = skip_key(t[a:b])
             if len(key) >= 5:
@@ -255,7 +289,9 @@ def find_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray
                 b = a + len(trim)
                 while at < len(own) and own[at][2] <= m.start():
                     at += 1
-                held = next((s[1] + 1 for s in own[at:] if s[0] < m.end() and s[2] > m.start()), 0) if at < len(own) and own[at][0] < m.end() else 0
+                held, j = 0, at
+                while j < len(own) and own[j][0] < m.end() and not held:
+                    held, j = own[j][1] + 1 if own[j][2] > m.start() else 0, j + 1
                 nodes.append((d, a, b, held))
                 feats.append(features(w, before))
                 if last == i - 1:
@@ -265,8 +301,19 @@ def find_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray
                     ties.setdefault(key, []).append(k)
                     if held:
                         known.setdefault(key, np.zeros(N_LABELS))[held] += 1
+                if not held and _PART.fullmatch(w):
+                    parts.append((i, a, b, _NOT_DIGIT.sub("", w), before))
                 last = i
             before = (before[1], w)
+        for k, (i, a, _, digits, cues) in enumerate(parts):
+            for n, (j, _, b, more, _) in enumerate(parts[k + 1 : k + MOST_PARTS], 1):
+                if j != i + n or len(digits) + len(more) > 19:
+                    break
+                digits += more
+                if len(digits) >= 9 and (digits in known or digits in ties):
+                    ties.setdefault(digits, []).append(len(nodes))
+                    nodes.append((d, a, b, 0))
+                    feats.append(features(digits, cues))
         for key, tied in ties.items():
             if key in known:
                 message = np.log(known[key] / known[key].sum() @ np.exp(skip))
@@ -291,19 +338,28 @@ def find_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray
             d, a, b, _ = nodes[i]
             if b > a:
                 added[d].append((a, int(p[i, 1:].argmax()), b))
-    out = []
-    for own, more in zip(base, added, strict=True):
-        free = [s for s in more if not any(s[0] < o[2] and o[0] < s[2] for o in own)] if own else more
-        out.append((own, sorted(own + free)))
+    return [(own, sorted(own + _apart(more, own))) for own, more in zip(base, added, strict=True)]
+
+
+def _apart(more: list, own: list) -> list:
+    """Added spans that meet no base span, and of those that meet each other the longer ones; both lists are walked once."""
+    # Of the base spans that start before a place, the furthest end.
+    starts = [s[0] for s in own]
+    ends = list(itertools.accumulate((s[2] for s in own), max))
+    out: list = []
+    for s in sorted(more, key=lambda s: (s[0], -s[2])):
+        n = bisect.bisect_left(starts, s[2])
+        if (not n or ends[n - 1] <= s[0]) and (not out or out[-1][2] <= s[0]):
+            out.append(s)
     return out
 
 
 def shown(spans: list) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{LABELS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans (all)."""
+    """doc_id, counts of base spans, base_sha256, spans (all), n_spans (their number)."""
     model = fitted()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,9 +369,9 @@ def detect(docs: DataFrame) -> DataFrame:
                 found = find_spans(part.column("text").to_pylist(), model)
                 counts = [pa.array([sum(s[1] == k for s in own) for own, _ in found], pa.int64()) for k in range(4)]
                 sha = pa.array([hashlib.sha256(shown(own).encode()).hexdigest() for own, _ in found], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, sha, pa.array([shown(s) for _, s in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, sha, pa.array([shown(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(batches, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(batches, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list) -> str:
@@ -326,12 +382,12 @@ def masked(text: str, spans: list) -> str:
             open_end = max(open_end, b)
             continue
         if open_end >= 0:
-            out.append(f"[{KINDS[kind].upper()}]")
+            out.append(f"[{LABELS[kind].upper()}]")
             at = open_end
         out.append(text[at:a])
         open_end, kind = b, k
     if open_end >= 0:
-        out.append(f"[{KINDS[kind].upper()}]")
+        out.append(f"[{LABELS[kind].upper()}]")
         at = open_end
     return "".join([*out, text[at:]])
 
@@ -340,6 +396,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in their texts; a null text stays null, n_chars follows the text."""
     model = fitted()
     names, schema = docs.columns, docs.schema
+    new = max([*names, ""], key=len) + "_masked"  # a name that no column has
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -347,8 +404,8 @@ def mask(docs: DataFrame) -> DataFrame:
                 part = b.slice(lo, 500)
                 texts = part.column(names.index("text")).to_pylist()
                 found = find_spans([t or "" for t in texts], model)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())], names=[*part.schema.names, "_masked"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())], names=[*part.schema.names, new])
 
-    out = docs.mapInArrow(batches, T.StructType([*schema.fields, T.StructField("_masked", T.StringType())]))
-    out = out.withColumn("text", F.col("_masked")).drop("_masked")
+    out = docs.mapInArrow(batches, T.StructType([*schema.fields, T.StructField(new, T.StringType())]))
+    out = out.withColumn("text", F.col(new)).drop(new)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out.select(*names)
