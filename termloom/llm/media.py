@@ -1,6 +1,8 @@
 """Telephony audio: mu-law, A-law and IMA ADPCM in WAV files, decoded with numpy to resampled PCM.
 
-mu-law and A-law expand by lookup tables; ADPCM steps through the samples of a block for all blocks at once.
+mu-law and A-law expand by lookup tables; ADPCM steps through the samples of a block for all blocks at once. PCM is
+resampled by a rational factor with a windowed-sinc kernel, for all files of a batch at once, and stored as a WAV file
+beside the coded one; features come from both as they are read back.
 
 Defined results: a null text is an empty payload, which is padded to one multiple like any other; repeated
 rows give equal files; a very long text is a long file, worked on with a batch of few others; an empty
@@ -23,7 +25,11 @@ from .common import text_of
 RATE, UNIT = 8000, 576
 #: An ADPCM block: predictor, step index, a reserved byte, then 32 bytes of two samples each.
 BLOCK = 36
-MULAW_FORMAT, ALAW_FORMAT, ADPCM_FORMAT = 7, 6, 0x11
+PCM_FORMAT, MULAW_FORMAT, ALAW_FORMAT, ADPCM_FORMAT = 1, 7, 6, 0x11
+#: Resampling of the stored PCM: 8 kHz to 2 kHz. Other factors are parameters.
+UP, DOWN = 1, 4
+#: Zero crossings of the kernel on each side.
+LOBES = 8
 #: Bytes of payload that are decoded at once.
 CHUNK = 4 << 20
 
@@ -85,21 +91,51 @@ def decode_adpcm(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out.T
 
 
-def double_rate(x: np.ndarray) -> np.ndarray:
-    """Twice the sampling rate: each sample, then the mean of it and the next one (the last stays)."""
-    out = np.empty(2 * len(x), np.int16)
-    out[::2] = x
-    out[1:-1:2] = (x[:-1].astype(np.int32) + x[1:]) >> 1
-    out[-1:] = x[-1:]
-    return out
+def kernel(up: int, down: int) -> np.ndarray:
+    """Taps of a windowed sinc at ``up`` times the rate, cut off at the lower of both rates' halves; an odd number."""
+    wide = max(up, down)
+    half = LOBES * wide
+    t = np.arange(-half, half + 1) / wide
+    taps = np.sinc(t) * np.hanning(2 * half + 3)[1:-1]
+    return taps * up / taps.sum()
+
+
+def resampled(x: np.ndarray, length: np.ndarray, up: int = UP, down: int = DOWN) -> tuple[np.ndarray, np.ndarray]:
+    """(samples, their numbers) of signals one after another, each by itself; outside a signal is silence. ceil(n * up / down) samples of n."""
+    taps = kernel(up, down)
+    half = len(taps) // 2
+    count = -(-length * up // down)
+    # Every signal has silence before and behind it, as wide as the kernel reaches, and starts at a multiple of down.
+    gap = -(-half // up) + 1
+    room = -(-(length + 2 * gap) // down) * down
+    start = np.cumsum(room) - room + gap
+    padded_ = np.zeros(int(room.sum()) + 2 * gap + down, np.float64)
+    padded_[_spread(start, length)] = x
+    # The place of each sample on the grid of up times the rate.
+    at = _spread(np.zeros(len(length), np.int64), count) * down
+    first = np.repeat(start, count)
+    out = np.zeros(int(count.sum()))
+    for phase in range(up):
+        mine = np.flatnonzero(at % up == phase)
+        base = first[mine] + at[mine] // up
+        for k in range(-((half + phase) // up), (half - phase) // up + 1):
+            tap = taps[half - (k * up + phase)] if abs(k * up + phase) <= half else 0.0
+            out[mine] += tap * padded_[base - k]
+    return np.clip(np.rint(out), -32768, 32767).astype(np.int16), count
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of count, one run after another."""
+    upto = np.cumsum(count)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start - (upto - count), count)
 
 
 def wav(payload: bytes, form: int = MULAW_FORMAT, rate: int = RATE) -> bytes:
-    """A WAV file of one channel of 8-bit codes (or ADPCM blocks)."""
+    """A WAV file of one channel of 8-bit codes, ADPCM blocks or 16-bit samples."""
     extra = struct.pack("<HH", 2, 1 + 2 * (BLOCK - 4)) if form == ADPCM_FORMAT else b"\0\0"
-    align, bits = (BLOCK, 4) if form == ADPCM_FORMAT else (1, 8)
-    samples = len(payload) // BLOCK * (1 + 2 * (BLOCK - 4)) if form == ADPCM_FORMAT else len(payload)
-    fmt = struct.pack("<HHIIHH", form, 1, rate, rate * align // (1 if align == 1 else 65), align, bits) + extra
+    align, bits = (BLOCK, 4) if form == ADPCM_FORMAT else (2, 16) if form == PCM_FORMAT else (1, 8)
+    samples = len(payload) // BLOCK * (1 + 2 * (BLOCK - 4)) if form == ADPCM_FORMAT else len(payload) // align
+    fmt = struct.pack("<HHIIHH", form, 1, rate, rate * align // (65 if form == ADPCM_FORMAT else 1), align, bits) + extra
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(payload)) + payload
     return b"RIFF" + struct.pack("<I", len(body) + (len(payload) & 1)) + body + b"\0" * (len(payload) & 1)
 
@@ -123,48 +159,64 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\xff" * ((-len(raw)) % UNIT or UNIT * (not raw))
 
 
-def encode_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's bytes as the codes of a mu-law file."""
+def signals(payloads: list[bytes], form: int) -> tuple[np.ndarray, np.ndarray]:
+    """(samples of all files one after another, their numbers)."""
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    length = np.array([len(p) for p in payloads])
+    if form == PCM_FORMAT:
+        return data.view("<i2"), length // 2
+    if form == ADPCM_FORMAT:
+        return decode_adpcm(data).ravel(), length // BLOCK * (1 + 2 * (BLOCK - 4))
+    return expand(data, form), length
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                raw = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(batches, "doc_id long, n_bytes long, media binary")
+def pcm_files(payloads: list[bytes], form: int, up: int = UP, down: int = DOWN) -> list[bytes]:
+    """Each file's samples, resampled, as a WAV file of 16-bit samples."""
+    x, count = resampled(*signals(payloads, form), up, down)
+    cut = np.cumsum(count)
+    return [wav(x[hi - n : hi].astype("<i2").tobytes(), PCM_FORMAT, RATE * up // down) for n, hi in zip(count.tolist(), cut.tolist(), strict=True)]
 
 
-def signal(payload: np.ndarray, form: int) -> np.ndarray:
-    """The file's samples at twice its rate."""
-    if form == ADPCM_FORMAT:
-        return double_rate(decode_adpcm(payload[: len(payload) // BLOCK * BLOCK]).ravel())
-    return double_rate(expand(payload, form))
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of files of some CHUNK bytes."""
+    lo = 0
+    while lo < len(sizes):
+        hi, size = lo, 0
+        while hi < len(sizes) and (hi == lo or size + sizes[hi] < CHUNK):
+            size += sizes[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def encode_texts(docs: DataFrame, form: int = MULAW_FORMAT, up: int = UP, down: int = DOWN) -> DataFrame:
+    """doc_id, n_bytes, media, pcm: each text's bytes as the codes of a file, and what they sound like as resampled PCM."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            raw = b.column("text").cast(pa.binary()).to_pylist()
+            for lo, hi in _chunks([len(x) for x in raw]):
+                payloads = [padded(x) for x in raw[lo:hi]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(x) for x in raw[lo:hi]], pa.int64()), pa.array([wav(x, form) for x in payloads], pa.binary()), pa.array(pcm_files(payloads, form, up, down), pa.binary())], names=["doc_id", "n_bytes", "media", "pcm"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(batches, "doc_id long, n_bytes long, media binary, pcm binary")
 
 
-def decode_media(media: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """Reads stored files back: doc_id, n_bytes, what was stored, a feature string, and on demand the resampled PCM."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
+def decode_media(media: DataFrame) -> DataFrame:
+    """Reads stored files back: doc_id, n_bytes, what was stored, a feature string, and the size of the PCM file."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            files = b.column("media").to_pylist()
-            lo = 0
-            while lo < len(files):
-                hi, size = lo, 0
-                while hi < len(files) and (hi == lo or size + len(files[hi]) < CHUNK):
-                    size += len(files[hi])
-                    hi += 1
-                yield _decoded(files[lo:hi], b.column("doc_id").slice(lo, hi - lo), b.column("n_bytes").slice(lo, hi - lo), with_pcm)
-                lo = hi
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(batches, schema)
-
-
-def _decoded(files: list[bytes], ids: pa.Array, sizes: pa.Array, with_pcm: bool) -> pa.RecordBatch:
-    read = [unwav(f) for f in files]
-    payloads = [p for _, _, p in read]
+            files, pcm = b.column("media").to_pylist(), b.column("pcm").to_pylist()
+            for lo, hi in _chunks([len(f) for f in files]):
+                yield _decoded(files[lo:hi], pcm[lo:hi], b.column("doc_id").slice(lo, hi - lo), b.column("n_bytes").slice(lo, hi - lo))
+
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(batches, schema)
+
+
+def _decoded(files: list[bytes], pcm: list[bytes], ids: pa.Array, sizes: pa.Array) -> pa.RecordBatch:
+    payloads = [unwav(f)[2] for f in files]
     codes = np.frombuffer(b"".join(payloads), np.uint8)
     length = np.array([len(p) for p in payloads])
     start = np.cumsum(length) - length
@@ -174,9 +226,10 @@ def _decoded(files: list[bytes], ids: pa.Array, sizes: pa.Array, with_pcm: bool)
     crossings = np.add.reduceat(np.diff(np.signbit(mu), append=False).astype(np.int64), start)
     last = start + length - 1
     crossings -= np.append(np.signbit(mu[last[:-1]]) != np.signbit(mu[start[1:]]), np.signbit(mu[last[-1]]))  # between files
-    pcm = [signal(np.frombuffer(p, np.uint8), form).tobytes() for form, _, p in read]
-    feature = [f"mulaw={a};alaw={b};adpcm={c};crossings={d};pcm={zlib.crc32(x):08x}" for a, b, c, d, x in zip(*(x.tolist() for x in (*levels, crossings)), pcm, strict=True)]
+    played = [unwav(f)[2] for f in pcm]
+    x, count = signals(played, PCM_FORMAT)
+    loud = mean(x, np.cumsum(count) - count, count)
+    feature = [f"mulaw={a};alaw={b};adpcm={c};crossings={d};resampled={e};pcm={zlib.crc32(p):08x}" for a, b, c, d, e, p in zip(*(v.tolist() for v in (*levels, crossings, loud)), played, strict=True)]
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    columns = [ids, sizes, pa.array(length, pa.int64()), pa.array(map(sha, payloads), pa.string()), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array(map(sha, files), pa.string()), pa.array(feature, pa.string())]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(pcm, pa.binary())] if with_pcm else columns, names=[*names, "pcm"] if with_pcm else names)
+    columns = [ids, sizes, pa.array(length, pa.int64()), pa.array(map(sha, payloads), pa.string()), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array(map(sha, files), pa.string()), pa.array(feature, pa.string()), pa.array([len(f) for f in pcm], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
