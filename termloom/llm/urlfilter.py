@@ -10,7 +10,8 @@ partitions, sorted by Spark; the salt splits hot hosts.
 
 Defined results: a null URL, or one without "://", has empty host and path and gets the default verdict.
 Longest means most characters of host and path together, then of the host; of equal rules, the verdict
-that sorts first ("allow"). Repeated rows are judged alike; an empty table gives no rows.
+that sorts first ("allow"); a rule without host or verdict is none. Repeated rows are judged alike; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ def parse_rule(text: str) -> UrlRule:
 RULES = tuple(map(parse_rule, ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")))
 
 
+#: URLs that one salt of the merge stands for.
+SALT_URLS = 1_000_000
+
+
 def reversed_host(host: str) -> str:
     return ".".join(reversed(host.split(".")))
 
@@ -94,14 +99,16 @@ def split_urls(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return df.select(id_col, F.translate(F.regexp_extract("_rest", r"^[^/?#]*", 0), UPPER, LOWER).alias("host"), F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rule_bytes: int = 16 << 20, salts: int = 16) -> DataFrame:
-    """id, host, path, rule, verdict. rules: UrlRules, or a DataFrame (verdict, host, path)."""
+def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rule_bytes: int = 16 << 20, salts: int | None = None) -> DataFrame:
+    """id, host, path, rule, verdict. rules: UrlRules, or a DataFrame (verdict, host, path).
+
+    salts: parts that a host's keys are dealt over in the merge; None: one for every ``SALT_URLS`` URLs, 16 at least."""
     split = split_urls(pages, id_col, url_col)
     if isinstance(rules, DataFrame):
         size = rules.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + F.coalesce(F.octet_length("path"), F.lit(0)) + 64)).first()[0] or 0
         if size > max_rule_bytes:
-            return _merged(split, rules, default, id_col, salts)
-        rules = [UrlRule(r["verdict"], r["host"].translate(str.maketrans(UPPER, LOWER)), r["path"] or "") for r in rules.select("verdict", "host", "path").collect() if r["host"]]
+            return _merged(split, rules, default, id_col, salts or max(16, split.count() // SALT_URLS))
+        rules = [UrlRule(r["verdict"], r["host"].translate(str.maketrans(UPPER, LOWER)), r["path"] or "") for r in rules.select("verdict", "host", "path").collect() if r["host"] and r["verdict"] is not None]
     kept, intervals = ordered(list(rules))
     verdicts, names = [r.verdict for r in kept], [r.host + r.path for r in kept]
 
@@ -126,7 +133,7 @@ def _merged(split: DataFrame, rules: DataFrame, default: str, id_col: str, salts
     parts = F.split("host", r"\.")
     urls = split.select("host", "path").distinct()
     probes = urls.filter("host != ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("at"), F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("path").alias("key"), "host", F.lit("").alias("verdict"))
-    r = rules.filter("host is not null and host != ''").select(F.translate("host", UPPER, LOWER).alias("at"), F.coalesce("path", F.lit("")).alias("key"), "verdict").groupBy("at", "key").agg(F.min("verdict").alias("verdict"))
+    r = rules.filter("host is not null and host != '' and verdict is not null").select(F.translate("host", UPPER, LOWER).alias("at"), F.coalesce("path", F.lit("")).alias("key"), "verdict").groupBy("at", "key").agg(F.min("verdict").alias("verdict"))
     r = r.select("at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "key", F.lit("").alias("host"), "verdict")
 
     def stream(it):
