@@ -44,8 +44,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.write_archive(table(spark, sf_dir, "pages"))
-    records = warc.read_archive(headers, payloads)
-    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.record_bytes(warc.read_archive(headers, payloads))
+    whole = (F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", *whole)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +92,17 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f
 """
 
-OP6_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-s AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS top FROM p)
-SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> top THEN top END AS refers_to
-FROM s
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, replace(replace(coalesce(url, ''), chr(13), ''), chr(10), '') AS u, chr(13) || chr(10) AS e FROM pages),
+s AS (SELECT *, strlen(h) AS payload_bytes, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+r AS (SELECT *, page_id = top AS own,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest FROM s),
+w AS (SELECT *, 'WARC/1.1' || e || 'WARC-Type: ' || CASE WHEN own THEN 'response' ELSE 'revisit' END || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || u || e || 'WARC-Payload-Digest: sha1:' || payload_digest || e
+  || CASE WHEN own THEN '' ELSE 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || e || 'WARC-Refers-To: <urn:page:' || top || '>' || e END
+  || 'Content-Type: text/html' || e || 'X-Payload-Length: ' || payload_bytes || e || 'Content-Length: ' || CASE WHEN own THEN payload_bytes ELSE 0 END || e || e || CASE WHEN own THEN h ELSE '' END || e || e AS record FROM r)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN top END AS refers_to,
+  strlen(record)::BIGINT AS record_bytes, sha256(record) AS record_sha256
+FROM w
 """
 
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urlfilter.RULES)

@@ -9,7 +9,8 @@ Of records with equal payloads of at least ``min_bytes``, that with the largest
 holds the payload; the others are revisits that refer to it. Smaller payloads are all responses.
 
 Defined results: a null payload is empty; a null URL gives an empty target; repeated ids with equal
-payloads: each is a response if it holds the largest id; an empty table gives an empty archive.
+payloads: each is a response if it holds the largest id; a null id has no number in its header and is a response only
+where all ids of its payload are null; an empty table gives an empty archive; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +32,18 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, DataFrame]:
-    """(headers, payloads), both stored: headers (record_id, sha256, header) and payloads (sha256, payload)."""
+#: The date of records whose pages tell none.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(headers, payloads), both stored: headers (record_id, sha256, header) and payloads (sha256, payload).
+
+    date_col: a timestamp of each page; without one, or null, the date is ``NO_DATE``."""
+    date = F.coalesce(F.date_format(F.to_utc_timestamp(pages[date_col], F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(NO_DATE)) if date_col else F.lit(NO_DATE)
     payload = F.encode(F.coalesce(pages[payload_col], F.lit("")), "UTF-8")
-    p = pages.select(pages[id_col].cast("long").alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), payload.alias("payload"))
-    facts = p.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    p = pages.select(pages[id_col].cast("long").alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), date.alias("date"), payload.alias("payload"))
+    facts = p.select("id", "url", "date", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     # Copies are combined before the one shuffle of payloads.
     payloads = stored(p.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.max("id").alias("holder"), F.first("payload").alias("payload")), "warc-payloads")
     facts = facts.join(payloads.select("sha256", "holder"), "sha256").withColumn("is_response", (F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("holder")))
@@ -45,9 +53,11 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(F.col("is_response"), "response").otherwise("revisit")),
         line("WARC-Record-ID", ident(F.col("id"))),
+        line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))),
         F.when(F.col("is_response"), F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", ident(F.col("holder"))))),
+        line("Content-Type", F.lit("text/html")),
         line("X-Payload-Length", F.col("bytes").cast("string")),
         line("Content-Length", F.when(F.col("is_response"), F.col("bytes")).otherwise(0).cast("string")),
     )
@@ -69,7 +79,7 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """record_id and the exact bytes of each record as it stands in a WARC file."""
+    """The records with the exact bytes of each as it stands in a WARC file, in place of header and payload."""
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.lit(b"\r\n")
-    return records.select("record_id", F.concat(F.encode("header", "UTF-8"), end, block, end, end).alias("record"))
+    return records.withColumn("record", F.concat(F.encode("header", "UTF-8"), end, block, end, end)).drop("header", "payload")
