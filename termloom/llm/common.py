@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,16 +55,49 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+#: Of each open scope, the tables stored in it so far.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Gathers the tables that are stored inside; the caller discards what is not needed any more."""
+    _OPEN.append(own := [])
+    try:
+        yield own
+    finally:
+        _OPEN.remove(own)
+
+
+def leave(own: list[DataFrame], *kept: DataFrame) -> None:
+    """Discard a scope's tables but those kept, which go to the scope outside."""
+    paths = {t._work_path for t in kept}
+    discard(*(t for t in own if t._work_path not in paths))
+    if _OPEN:
+        _OPEN[-1].extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads."""
+    """Delete stored tables that no later plan reads; those that are gone stay gone."""
     for t in tables:
         files, target = _path(t.sparkSession, t._work_path)
         files.delete(target, True)
 
 
+#: Rows of a few numbers that are broadcast at most: some 16 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for a broadcast where it is counted to be small; else Spark chooses by its size."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 

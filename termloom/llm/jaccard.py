@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, text_of
+from .common import discard, leave, scope, small, stored, text_of
 from .frequency import bucket_of, frequencies
 from .hashing import BASES, mix, run_hash, window_hashes, word_hashes
 
@@ -122,9 +122,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, ngram: int, repeated: bool) -> D
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("th", F.xxhash64("text"))
     # A text's hash and its document together name the row.
     same = rows["doc_id"].eqNullSafe(wanted["doc"]) & (rows["th"] == wanted["th"])
-    if wanted.count() * 32 <= 32 << 20:
-        wanted = F.broadcast(wanted)
-    out = rows.join(wanted, same).select("id", "text").mapInArrow(batches, "id long, hashes binary")
+    out = rows.join(small(wanted), same).select("id", "text").mapInArrow(batches, "id long, hashes binary")
     return out.dropDuplicates(["id"]) if repeated else out
 
 
@@ -290,21 +288,30 @@ def _region_edges(regions: DataFrame, bound: Bound) -> DataFrame:
     return regions.groupBy("region").applyInArrow(region, "a long, b long")
 
 
-def _pair_edges(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """The pairs (a, b) of ids that link."""
+#: Sets that meet one copy of their pivot.
+SLICE = 2048
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in it:
-            for lo in range(0, x.num_rows, 1000):
-                part = x.slice(lo, 1000)
-                a, b = ([np.frombuffer(r.as_buffer(), np.uint64) for r in part.column(c)] for c in ("x", "y"))
-                c = np.array([np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s) for s, t in zip(a, b, strict=True)], np.int64)
-                ok = bound.links(c, np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
+def _pair_edges(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+    """The pairs (a, b) of ids that link: a's set goes to b's cell, in slices that each have a copy of b's set."""
+
+    def cell(t: pa.Table) -> pa.Table:
+        ids, pivot = t.column("id").to_numpy(), t.column("b")[0].as_py()
+        raw = t.column("hashes")
+        own = np.frombuffer(raw[int(np.flatnonzero(ids == pivot)[0])].as_buffer(), np.uint64)
+        found = []
+        for i, r in zip(ids.tolist(), raw, strict=True):
+            s = np.frombuffer(r.as_buffer(), np.uint64)
+            c = np.count_nonzero(own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s)
+            if i != pivot and bound.links(c, len(s), len(own)):
+                found.append(i)
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([pivot] * len(found), pa.int64())})
+
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    members = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int").alias("slice"), F.col("a").alias("id"))
+    pivots = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("b").alias("id"))
+    places = stored(members.unionByName(pivots), "cells")
+    return sets.join(small(places), "id").groupBy("b", "slice").applyInArrow(cell, "a long, b long")
 
 
 def _cells(large: DataFrame, sets: DataFrame, bound: Bound, limit: int, turn: int) -> DataFrame:
@@ -362,7 +369,7 @@ def region_links(regions: DataFrame, opened: DataFrame, sets: DataFrame, bound:
         sizes = regions.groupBy("region").agg(F.sum("bytes").alias("total"))
         sized = stored(regions.join(sizes, "region"), f"regions-{turn}")
         inside, large = sized.filter(F.col("total") <= limit), sized.filter(F.col("total") > limit)
-        found = _both(found, stored(_region_edges(inside.select("region", "id", "root").join(sets, "id"), bound), f"region-links-{turn}"))
+        found = _both(found, stored(_region_edges(sets.join(small(inside.select("region", "id", "root")), "id"), bound), f"region-links-{turn}"))
         if turn:
             # A cell that holds most of its parent would be cut in vain again.
             held = large.filter("total > 0.7 * parent").select("id", "root", "bytes").distinct()
@@ -380,7 +387,14 @@ def region_links(regions: DataFrame, opened: DataFrame, sets: DataFrame, bound:
 
 
 def linked(docs: DataFrame, ngram: int, percent: int, limit: int = REGION_BYTES) -> DataFrame:
-    """One row per document: row, doc_id, th (hash of the text), n (size of the set), root (a number of its component; null without words)."""
+    """One row per document, stored: row, doc_id, th (hash of the text), n (size of the set), root (a number of its component; null without words)."""
+    with scope() as own:
+        out = stored(_linked(docs, ngram, percent, limit), "linked")
+    leave(own, out)
+    return out
+
+
+def _linked(docs: DataFrame, ngram: int, percent: int, limit: int) -> DataFrame:
     bound = Bound(percent)
     rows = stored(set_keys(docs, ngram, bound).withColumn("row", F.monotonically_increasing_id()), "sets")
     # A class goes by the first of its rows; few bytes of these numbers differ, so they shuffle small.
@@ -427,7 +441,7 @@ def linked(docs: DataFrame, ngram: int, percent: int, limit: int = REGION_BYTES)
 
 def join(docs: DataFrame, ngram: int = 3, percent: int = 90, limit: int = REGION_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
-    rows = stored(linked(docs, ngram, percent, limit), "linked")
+    rows = linked(docs, ngram, percent, limit)
     least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -441,19 +455,21 @@ def keep_first(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     names = docs.columns
     # Names that no column of docs has.
     k1, k2 = (max([*names, ""], key=len) + end for end in ("_key", "_hash"))
-    rows = stored(linked(docs, ngram, percent), "linked").filter("n > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first")
-    groups = rows.groupBy("root").agg(first, F.count("*").alias("members")).filter("members > 1")
-    # What goes is the smaller part, and of a size that Spark knows: below its threshold, no text is shuffled.
-    verdicts = stored(rows.join(groups, "root").select(F.col("doc_id").alias(k1), F.col("th").alias(k2), F.expr("doc_id <=> first.doc_id and th = first.th").alias("keep")), "verdicts")
-    gone = stored(verdicts.filter("not keep").select(k1, k2).distinct(), "gone")
+    with scope() as own:
+        rows = linked(docs, ngram, percent).filter("n > 0")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first")
+        groups = rows.groupBy("root").agg(first, F.count("*").alias("members")).filter("members > 1")
+        verdicts = stored(rows.join(groups, "root").select(F.col("doc_id").alias(k1), F.col("th").alias(k2), F.expr("doc_id <=> first.doc_id and th = first.th").alias("keep")), "verdicts")
+        gone = stored(verdicts.filter("not keep").select(k1, k2).distinct(), "gone")
+        # Rows with the id and the text of the one that stays.
+        repeated = stored(verdicts.filter("keep").groupBy(k1, k2).agg(F.count("*").alias("copies")).filter("copies > 1").select(k1, k2), "repeated")
+    leave(own, gone, repeated)
     doc_id, text_hash = docs["doc_id"].cast("long"), F.xxhash64(text_of(docs))
     same = lambda t: doc_id.eqNullSafe(t[k1]) & (text_hash == t[k2])
-    kept = docs.join(gone, same(gone), "left_anti").select(*[docs[c] for c in names])
-    # Rows with the id and the text of the one that stays.
-    repeated = verdicts.filter("keep").groupBy(k1, k2).agg(F.count("*").alias("copies")).filter("copies > 1").select(k1, k2)
+    # What goes is the smaller part: where it is small, no text is shuffled.
+    gone_ = small(gone)
+    kept = docs.join(gone_, same(gone_), "left_anti").select(*[docs[c] for c in names])
     if repeated.isEmpty():
         return kept
-    repeated = stored(repeated, "repeated")
     once = docs.join(repeated, same(repeated)).dropDuplicates([k1, k2]).select(*[docs[c] for c in names])
-    return docs.join(gone, same(gone), "left_anti").join(repeated, same(repeated), "left_anti").select(*names).unionByName(once)
+    return docs.join(gone_, same(gone_), "left_anti").join(repeated, same(repeated), "left_anti").select(*[docs[c] for c in names]).unionByName(once)

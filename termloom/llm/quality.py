@@ -120,5 +120,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their columns unchanged."""
     names = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), text_of(docs).alias("_text"))
-    # Stored first: a filter on kept would be pushed below the projections and repeat their expressions at every level.
-    return stored(verdicts(measured(packed), rules).select("_row", "kept"), "judged").filter("kept").select("_row.*")
+    # A filter on kept alone would be pushed below the projections and repeat their expressions at every level; what is
+    # not deterministic stays where it is.
+    judged = verdicts(measured(packed), rules).select("_row", "kept", F.monotonically_increasing_id().alias("_mark"))
+    return judged.filter("kept and _mark >= 0").select("_row.*")
