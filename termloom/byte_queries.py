@@ -9,7 +9,7 @@ from termloom.operators import block_seek as blocks
 from termloom.operators import byte_fst, codecs, metadata
 from termloom.plans import terms
 from termloom.queries import SEEK, TOK, _dict, _entries, _N, _Q, _keys, _queries, checkpoint, query, seek_targets, table
-from termloom.sources import layouts
+from termloom.sources import layouts, lines
 
 
 @query(SEEK)
@@ -232,3 +232,42 @@ def plain_header_check(spark, d):
     right = F.struct(F.lit("Terms").alias("name"), bits.long(5).alias("version"), F.lit("AB").alias("object_id"), F.lit("s0").alias("suffix"))
     flags = bits.set_flag_if(k % 2 == 0, 4) + bits.set_flag_if(k % 3 == 0, 8)
     return h.select("k", metadata.plain_header_error("Terms", 2, 6).alias("error"), footer.alias("footer"), metadata.checked_version(right, "Terms", 2, 6, "AB", "s0").alias("checked_version"), flags.alias("flags"), metadata.of_code(k % 3, tuple(c.name for c in codecs.CODECS.values())).alias("codec"))
+
+
+@query(r"""WITH d AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) SELECT doc, position::BIGINT AS position, w[position + 1] AS term FROM (SELECT doc, w, unnest(range(len(w))) AS position FROM d)""")
+def positions(spark, d):
+    """Every token with its place in its document."""
+    t = terms.tokens(table(spark, d, "documents"))
+    return t.select("doc", F.col("position").cast("long").alias("position"), "term")
+
+
+@query(f"WITH {TOK} SELECT term, list(doc ORDER BY doc) AS docs, max(doc) AS last FROM post WHERE term IN (SELECT term FROM td WHERE doc_freq BETWEEN 3 AND 200) GROUP BY term")
+def delta_decode(spark, d):
+    """Differences of a term's documents summed up again; lists of 3 to 200."""
+    p = terms.doc_deltas(terms.postings(terms.tokens(table(spark, d, "documents"))))
+    wanted = _dict(spark, d).filter("doc_freq between 3 and 200").select("term")
+    g = p.join(wanted, "term", "left_semi").groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "delta"))), lambda s: s["delta"]).alias("v"))
+    docs = lists.running_sums(F.col("v"), bits.long(0))
+    return g.select("term", docs.alias("docs"), lists.last(docs).alias("last"))
+
+
+@query("""SELECT c_custkey AS k, list_transform(range(c_custkey % 4), lambda i: c_name) AS filled, range(c_custkey % 5)::BIGINT[] AS upto, left(c_name, 3) AS first, substr(c_name, 4) AS rest, [[left(c_name, 1), left(c_mktsegment, 1)], [substr(c_name, 2, 1), substr(c_mktsegment, 2, 1)]] AS transposed,
+[c_name, c_mktsegment, c_name] AS joined, '{"k":' || c_custkey || ',"name":"' || c_name || '"}' AS shown, c_custkey % 2 = 0 AS equal FROM customer""")
+def list_pieces(spark, d):
+    """Filled, counted, cut, transposed and joined lists; a record as text, and two records compared with nulls."""
+    letters = lambda c, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.col(c), i, F.lit(1)))
+    k, both = F.col("c_custkey"), F.array(letters("c_name", 3), letters("c_mktsegment", 2))
+    piece = lists.take(F.filter(F.split("c_name", ""), lambda x: x != ""), 3)
+    same = F.when(k % 2 == 0, F.struct(k.alias("k"), F.lit(None).cast("long").alias("x"))).otherwise(F.struct((k + 1).alias("k"), F.lit(None).cast("long").alias("x")))
+    return table(spark, d, "customer").select(
+        k.alias("k"), lists.fill(k % 4, F.col("c_name")).alias("filled"), F.transform(lists.upto((k % 5).cast("int")), lambda i: i.cast("long")).alias("upto"), F.array_join(piece["first"], "").alias("first"), F.array_join(piece["rest"], "").alias("rest"),
+        lists.transposed(both).alias("transposed"), F.flatten(F.array(F.array("c_name"), F.array("c_mktsegment", "c_name"))).alias("joined"), F.to_json(F.struct(k.alias("k"), F.col("c_name").alias("name"))).alias("shown"), F.struct(k.alias("k"), F.lit(None).cast("long").alias("x")).eqNullSafe(same).alias("equal"),
+    )
+
+
+@query("SELECT r_name AS key, n_name AS value, r_regionkey AS file FROM nation JOIN region ON n_regionkey = r_regionkey")
+def keyed_lines(spark, d):
+    """Lines of a file for each region: its name as a key, then its nations."""
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("file"), F.lit(-1).cast("long").alias("number"), F.concat(F.lit(lines.MARK), "r_name").alias("line"))
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("file"), F.col("n_nationkey").cast("long").alias("number"), F.col("n_name").alias("line"))
+    return lines.keyed(r.unionByName(n)).select("key", "value", "file")

@@ -18,6 +18,12 @@ def upto(n: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: i < n)
 
 
+def running_sums(numbers: Column, base: Column) -> Column:
+    """base and the first number, and the second one, and so on."""
+    step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["all"], s["sum"] + x).alias("all"))
+    return F.aggregate(numbers, F.struct(base.alias("sum"), F.expr("cast(array() as array<bigint>)").alias("all")), step, lambda s: s["all"])
+
+
 def transposed(lists: Column) -> Column:
     """The first items, then the second ones, up to the shortest list's length."""
     return F.transform(upto(F.coalesce(F.array_min(F.transform(lists, F.size)), F.lit(0))), lambda i: F.transform(lists, lambda x: F.get(x, i)))

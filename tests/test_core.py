@@ -13,7 +13,7 @@ from termloom import queries as q
 from termloom.functions import binary, bits, lists
 from termloom.operators import block_seek, byte_fst, codecs, fst, lookup, metadata
 from termloom.plans import order, terms
-from termloom.sources import blocks, layouts
+from termloom.sources import blocks, layouts, lines
 from termloom.sources.cursor import Cursor, varying
 
 SF = "/root/testdata/sf0.001"
@@ -215,6 +215,15 @@ def test_binary_functions(spark):
     assert tuple(got[0]) == (-2, -16777217, 4294967294, 128, 128, 33) and got[1].i is None and got[1].c == 0 and got[2].i is None
 
 
+def test_keyed_lines(spark, tmp_path):
+    (tmp_path / "a").write_text("lost\n$one\nx\ny\n\n$two\r\nz\n")
+    (tmp_path / "b").write_text("")
+    got = [(r.key, r.value) for r in lines.keyed(lines.read_lines(spark, str(tmp_path))).orderBy("number").collect()]
+    assert got == [(None, "lost"), ("one", "x"), ("one", "y"), ("two", "z")]
+    cut = lines.pairs(spark.createDataFrame([("a b c",), ("d",), (None,)], "line string")).collect()
+    assert [tuple(r) for r in cut] == [("a", "b c"), ("d", None), (None, None)]
+
+
 def test_empty_key(spark):
     e = spark.createDataFrame([("", 9), ("a", 5)], "term string, output long")
     assert {(r.node, r.label, r.target): (r.output, r.final_output) for r in fst.arcs(e).collect()} == {("", "a", "a"): (5, 0), (None, None, ""): (0, 9)}
