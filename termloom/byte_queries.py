@@ -57,7 +57,7 @@ _FOOTER = "cast(null as struct<remaining:bigint,magic:bigint,checksum_ok:boolean
 
 @query("""SELECT s_suppkey AS k, s_name AS name, s_suppkey % 9 AS major, CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE s_suppkey % 9 END AS min_major, (s_nationkey * 1000)::BIGINT AS doc_count, s_suppkey % 3 = 0 AS is_compound, 'p' || s_nationkey AS place, [s_name || '.si', s_name || '.cfs'] AS files, true AS footer,
 '3FD76C17' || printf('%02X', length(s_name)) || hex(s_name::BLOB) || printf('%08X', s_suppkey % 4) AS head,
-(4 + 1 + length(s_name) + 4 + 16 + 3 + 12 + 1 + CASE WHEN s_suppkey % 2 = 0 THEN 12 ELSE 0 END + 4 + 1 + (1 + 6 + 1 + length('p' || s_nationkey)) + (1 + 2 + 2 * length(s_name) + 7) + 1 + 1 + 16)::BIGINT AS bytes FROM supplier""")
+(4 + 1 + length(s_name) + 4 + 16 + 3 + 12 + 1 + CASE WHEN s_suppkey % 2 = 0 THEN 12 ELSE 0 END + 4 + 1 + (1 + 6 + 1 + length('p' || s_nationkey)) + (1 + 2 + 2 * length(s_name) + 7) + 1 + 1 + 16)::BIGINT AS bytes FROM supplier""", lists=("files",))
 def segment_files(spark, d):
     """A segment file for each supplier, written and read back: header, versions, maps, lists, footer."""
     k, name = F.col("s_suppkey"), F.col("s_name")
@@ -131,7 +131,7 @@ def terms_meta_file(spark, d):
 
 
 @query("""SELECT n_nationkey::BIGINT AS number, n_name AS segment, r_regionkey::BIGINT AS generation, (SELECT count(*) FROM nation x WHERE x.n_regionkey = r_regionkey) AS segments, [r_name] AS updates, n_name || '_Lucene84_0.tim' AS terms_file
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = (SELECT max(r_regionkey) FROM region)""")
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = (SELECT max(r_regionkey) FROM region)""", lists=("updates",))
 def latest_commit(spark, d):
     """A commit of each region's nations as its segments; all segments of the newest one."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -179,7 +179,7 @@ def match_hashes(spark, d):
 
 
 @query("""WITH v AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) AS i, o_custkey % 256 AS v FROM orders), w AS (SELECT i // 128 AS block, i % 16 AS j, (i % 128) // 16 AS lane, v FROM v), s AS (SELECT block, j, sum(v::HUGEINT << (56 - 8 * lane)::INT)::HUGEINT AS w, count(*) AS c FROM w GROUP BY ALL)
-SELECT block, j AS place, CASE WHEN w >= 9223372036854775808 THEN w - 18446744073709551616 ELSE w END::BIGINT AS word, (SELECT list(x.v ORDER BY x.i) FROM v x WHERE x.i // 128 = s.block AND x.i % 16 = s.j) AS back FROM s WHERE block < (SELECT count(*) // 128 FROM orders)""")
+SELECT block, j AS place, CASE WHEN w >= 9223372036854775808 THEN w - 18446744073709551616 ELSE w END::BIGINT AS word, (SELECT list(x.v ORDER BY x.i) FROM v x WHERE x.i // 128 = s.block AND x.i % 16 = s.j) AS back FROM s WHERE block < (SELECT count(*) // 128 FROM orders)""", lists=("back",))
 def lane_blocks(spark, d):
     """Blocks of 128 numbers in words of eight lanes, and what each word's lanes give back."""
     o = terms.numbered(table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 256).alias("v")), "o_orderkey")
@@ -199,7 +199,7 @@ def _states(spark, d):
 
 
 @query(f"""{_STATES}
-SELECT k, CASE WHEN list_contains(labels, 2) THEN targets[list_position(labels, 2)] END AS second, coalesce(CASE WHEN list_contains(labels, 3) THEN outputs[list_position(labels, 3)] END, 0) AS third_output, 99::BIGINT AS replaced, CASE WHEN list_contains(labels, 2) THEN len(labels) ELSE len(labels) + 1 END AS arcs, list_transform(outputs, lambda x: x + 1) AS raised, k % 3 = 0 AS final, list_sort(list_distinct(list_append(outputs, 0))) AS outputs, list_filter(labels, lambda x: x <> 2) AS others FROM s""")
+SELECT k, CASE WHEN list_contains(labels, 2) THEN targets[list_position(labels, 2)] END AS second, coalesce(CASE WHEN list_contains(labels, 3) THEN outputs[list_position(labels, 3)] END, 0) AS third_output, 99::BIGINT AS replaced, CASE WHEN list_contains(labels, 2) THEN len(labels) ELSE len(labels) + 1 END AS arcs, list_transform(outputs, lambda x: x + 1) AS raised, k % 3 = 0 AS final, list_sort(list_distinct(list_append(outputs, 0))) AS outputs, list_filter(labels, lambda x: x <> 2) AS others FROM s""", lists=("raised", "outputs", "others"))
 def state_functions(spark, d):
     """States whose arcs are an order's lines: lookups, replacement, mapping, output sets."""
     g = _states(spark, d)
@@ -241,7 +241,7 @@ def positions(spark, d):
     return t.select("doc", F.col("position").cast("long").alias("position"), "term")
 
 
-@query(f"WITH {TOK} SELECT term, list(doc ORDER BY doc) AS docs, max(doc) AS last FROM post WHERE term IN (SELECT term FROM td WHERE doc_freq BETWEEN 3 AND 200) GROUP BY term")
+@query(f"WITH {TOK} SELECT term, list(doc ORDER BY doc) AS docs, max(doc) AS last FROM post WHERE term IN (SELECT term FROM td WHERE doc_freq BETWEEN 3 AND 200) GROUP BY term", lists=("docs",))
 def delta_decode(spark, d):
     """Differences of a term's documents summed up again; lists of 3 to 200."""
     p = terms.doc_deltas(terms.postings(terms.tokens(table(spark, d, "documents"))))
@@ -251,8 +251,8 @@ def delta_decode(spark, d):
     return g.select("term", docs.alias("docs"), lists.last(docs).alias("last"))
 
 
-@query("""SELECT c_custkey AS k, list_transform(range(c_custkey % 4), lambda i: c_name) AS filled, range(c_custkey % 5)::BIGINT[] AS upto, left(c_name, 3) AS first, substr(c_name, 4) AS rest, [[left(c_name, 1), left(c_mktsegment, 1)], [substr(c_name, 2, 1), substr(c_mktsegment, 2, 1)]] AS transposed,
-[c_name, c_mktsegment, c_name] AS joined, '{"k":' || c_custkey || ',"name":"' || c_name || '"}' AS shown, c_custkey % 2 = 0 AS equal FROM customer""")
+@query("""SELECT c_custkey AS k, list_transform(range(c_custkey % 4), lambda i: c_name) AS filled, range(c_custkey % 5)::BIGINT[] AS upto, left(c_name, 3) AS first, substr(c_name, 4) AS rest, [left(c_name, 1) || left(c_mktsegment, 1), substr(c_name, 2, 1) || substr(c_mktsegment, 2, 1)] AS transposed,
+[c_name, c_mktsegment, c_name] AS joined, '{"k":' || c_custkey || ',"name":"' || c_name || '"}' AS shown, c_custkey % 2 = 0 AS equal FROM customer""", lists=("filled", "upto", "transposed", "joined"))
 def list_pieces(spark, d):
     """Filled, counted, cut, transposed and joined lists; a record as text, and two records compared with nulls."""
     letters = lambda c, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.col(c), i, F.lit(1)))
@@ -261,7 +261,7 @@ def list_pieces(spark, d):
     same = F.when(k % 2 == 0, F.struct(k.alias("k"), F.lit(None).cast("long").alias("x"))).otherwise(F.struct((k + 1).alias("k"), F.lit(None).cast("long").alias("x")))
     return table(spark, d, "customer").select(
         k.alias("k"), lists.fill(k % 4, F.col("c_name")).alias("filled"), F.transform(lists.upto((k % 5).cast("int")), lambda i: i.cast("long")).alias("upto"), F.array_join(piece["first"], "").alias("first"), F.array_join(piece["rest"], "").alias("rest"),
-        lists.transposed(both).alias("transposed"), F.flatten(F.array(F.array("c_name"), F.array("c_mktsegment", "c_name"))).alias("joined"), F.to_json(F.struct(k.alias("k"), F.col("c_name").alias("name"))).alias("shown"), F.struct(k.alias("k"), F.lit(None).cast("long").alias("x")).eqNullSafe(same).alias("equal"),
+        F.transform(lists.transposed(both), lambda x: F.concat_ws("", x)).alias("transposed"), F.flatten(F.array(F.array("c_name"), F.array("c_mktsegment", "c_name"))).alias("joined"), F.to_json(F.struct(k.alias("k"), F.col("c_name").alias("name"))).alias("shown"), F.struct(k.alias("k"), F.lit(None).cast("long").alias("x")).eqNullSafe(same).alias("equal"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,18 @@ ft AS (SELECT field, term, count(*) AS df, sum(freq)::BIGINT AS ttf, CASE WHEN c
 fm AS (SELECT field, count(*) AS num_terms, sum(ttf)::BIGINT AS sum_total_term_freq, sum(df)::BIGINT AS sum_doc_freq, min(term) AS min_term, max(term) AS max_term, (SELECT count(DISTINCT doc) FROM fp WHERE fp.field = ft.field) AS doc_count FROM ft GROUP BY field)"""
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, lists: tuple[str, ...] = ()):
+    """Registers a query; its list columns named here are given as text, items joined by commas, in both forms."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark, d):
+            df = f(spark, d)
+            return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in lists}) if lists else df
+
+        QUERIES[f.__name__] = wraps(f)(run)
         if sql:
-            SQL[f.__name__] = sql
+            replaced = ", ".join(f"coalesce(array_to_string({c}, ','), '') AS {c}" for c in lists)
+            SQL[f.__name__] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if lists else sql
         return f
 
     return add
@@ -271,7 +279,7 @@ def vint_round_trip(spark, d):
     return v.select("k", "n", F.col("v").alias("bytes"), bits.unvint(F.col("v")).alias("back"), bits.vint_length(F.col("n")).alias("size"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS line, (l_linenumber * 65536 + l_quantity::BIGINT * 256 + l_linenumber)::BIGINT AS word, [l_linenumber::BIGINT, l_quantity::BIGINT, l_linenumber::BIGINT] AS back FROM lineitem")
+@query("SELECT l_orderkey AS k, l_linenumber AS line, (l_linenumber * 65536 + l_quantity::BIGINT * 256 + l_linenumber)::BIGINT AS word, [l_linenumber::BIGINT, l_quantity::BIGINT, l_linenumber::BIGINT] AS back FROM lineitem", lists=("back",))
 def lane_packing(spark, d):
     items = F.array(*[F.col(c).cast("long") for c in ("l_linenumber", "l_quantity", "l_linenumber")])
     p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), items.alias("items")).withColumn("word", bits.packed_long(F.col("items"), 8))
@@ -302,7 +310,7 @@ def byte_codec_round_trip(spark, d):
 b AS (SELECT block, list(v ORDER BY o_orderkey) AS back, list_reverse_sort(list(v)) AS top FROM v GROUP BY block HAVING count(*) = 128),
 w AS (SELECT *, greatest(1, length(ltrim(bin(top[8]), '0')), length(ltrim(bin(top[1]), '0')) - 8) AS width FROM b),
 x AS (SELECT *, len(list_filter(back, lambda x: x >> width::INT > 0)) AS odd, top[1] < 256 AND len(list_distinct(list_transform(back, lambda x: x & ((1 << width::INT) - 1)))) = 1 AS equal FROM w)
-SELECT block, (odd * 32 + CASE WHEN equal THEN 0 ELSE width END)::BIGINT AS token, (1 + CASE WHEN equal THEN 1 ELSE 16 * width END + 2 * odd)::BIGINT AS bytes, back FROM x""")
+SELECT block, (odd * 32 + CASE WHEN equal THEN 0 ELSE width END)::BIGINT AS token, (1 + CASE WHEN equal THEN 1 ELSE 16 * width END + 2 * odd)::BIGINT AS bytes, back FROM x""", lists=("back",))
 def pfor_round_trip(spark, d):
     """Full blocks of 128 numbers, some far above the others, as patched frames and back."""
     v = F.col("o_custkey") % 512 + F.when(F.col("o_orderkey") % 61 == 0, F.col("o_custkey") % 7 * 4096).otherwise(0)
