@@ -105,6 +105,35 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM w
 """
 
+_WORDS = r"""d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ws AS (SELECT r, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, doc_id, i, gram FROM (SELECT r, doc_id, i, string_agg(x, ' ') OVER k AS gram, count(*) OVER k AS n FROM ws WINDOW k AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {more} FOLLOWING)) WHERE n = {more} + 1)"""
+
+OP7_SQL = (
+    "WITH "
+    + _WORDS.format(text="coalesce(text, '')", more=12)
+    + """,
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+c AS (SELECT DISTINCT r, i + j AS i FROM (SELECT r, i FROM g JOIN f USING (gram) WHERE doc_id > first) CROSS JOIN range(13) t(j)),
+k AS (SELECT ws.r, string_agg(x, ' ' ORDER BY ws.i) AS kept, count(*) AS n FROM ws ANTI JOIN c USING (r, i) GROUP BY ws.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+)
+
+OP9_SQL = (
+    "WITH RECURSIVE "
+    + _WORDS.format(text=f"translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}')", more=2)
+    + """,
+s AS MATERIALIZED (SELECT DISTINCT r, gram FROM g UNION SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+q AS (SELECT s.r, gram, n FROM s JOIN n USING (r)),
+e AS MATERIALIZED (SELECT a.r AS ra, b.r AS rb FROM q a JOIN q b ON a.gram = b.gram AND a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(r, o) AS (SELECT r, r FROM n UNION SELECT reach.r, e.rb FROM reach JOIN e ON e.ra = reach.o),
+c AS (SELECT reach.r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE c.least END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+)
+
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urlfilter.RULES)
 OP10_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -117,4 +146,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op6_warc": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op6_warc": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_url_filter": OP10_SQL}
