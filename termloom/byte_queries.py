@@ -8,7 +8,7 @@ from termloom.functions import binary, bits, lists
 from termloom.operators import block_seek as blocks
 from termloom.operators import byte_fst, codecs, metadata
 from termloom.plans import terms
-from termloom.queries import SEEK, TOK, _dict, _entries, _N, _Q, _keys, _queries, checkpoint, query, seek_targets, table
+from termloom.queries import _N, _Q, SEEK, TOK, _dict, _keys, checkpoint, queries_and_entries, query, seek_targets, table
 from termloom.sources import layouts, lines
 
 
@@ -26,10 +26,10 @@ def block_seek(spark, d):
 @query(f"WITH {TOK}, {_Q} SELECT query, term IS NOT NULL AS accepted, total_term_freq AS output FROM q LEFT JOIN td ON td.term = q.query")
 def fst_bytes_accept(spark, d):
     """Keys dealt by hash into shards of some 50,000, each a minimal transducer in bytes."""
-    entries = checkpoint(_entries(spark, d), "entries")
+    asked, entries = queries_and_entries(spark, d)
     shards = max(1, entries.count() // 50_000)
     built = byte_fst.build(byte_fst.sharded(entries, "term", shards), "shard")
-    return byte_fst.lookup(byte_fst.sharded(_queries(spark, d), "query", shards), built, "shard").select("query", "accepted", "output")
+    return byte_fst.lookup(byte_fst.sharded(asked, "query", shards), built, "shard").select("query", "accepted", "output")
 
 
 @query("""WITH w AS (SELECT p_brand AS brand, p_name AS term, min(p_partkey) AS output FROM part GROUP BY ALL), g AS (SELECT brand, ascii(left(term, 1)) AS label, min(output) AS pot FROM w GROUP BY ALL)
@@ -120,24 +120,24 @@ def terms_meta_file(spark, d):
     """The terms' statistics as one file of three fields, read back; a field without frequencies has one sum for both."""
     m = terms.field_meta(table(spark, d, "documents"))
     number = F.when(F.col("field") == "text", 0).when(F.col("field") == "lang", 1).otherwise(2).cast("long")
-    plain = F.struct(F.lit(layouts.MAGIC).cast("long").alias("magic"), F.lit("FST").alias("name"), F.lit(7).cast("long").alias("version"))
+    plain = F.struct(F.lit(layouts.MAGIC).cast("long").alias("magic"), F.lit(layouts.FST_NAME).alias("name"), F.lit(7).cast("long").alias("version"))
     fst = F.struct(plain.alias("header"), F.encode("min_term", "UTF-8").alias("empty_output"), F.lit(0).cast("long").alias("input_type"), (F.col("num_terms") + 1).alias("start_node"), F.col("num_terms").alias("num_bytes"))
     row = F.struct(number.alias("number"), F.when(number == 0, 3).otherwise(layouts.DOCS_ONLY).cast("long").alias("index_options"), "num_terms", F.encode("field", "UTF-8").alias("root_code"), "sum_total_term_freq", "sum_doc_freq", "doc_count", "min_term", "max_term", F.lit(300).cast("long").alias("index_start"), fst.alias("fst"))
-    name = F.lit("BlockTreeTermsMeta"), F.lit("Lucene84PostingsWriterTerms")
+    name = F.lit(layouts.TERMS_NAME), F.lit(layouts.POSTINGS_NAME)
     whole = m.agg(F.array_sort(F.collect_list(row)).alias("fields")).select(F.struct(_header(name[0], F.lit(4)).alias("header"), _header(name[1], F.lit(1)).alias("postings_header"), F.lit(128).cast("long").alias("block_size"), "fields", F.lit(5).cast("long").alias("index_length"), F.lit(6).cast("long").alias("terms_length"), F.expr(_FOOTER).alias("footer")).alias("value"))
     content = layouts.written(whole, layouts.TERMS_META, "value").select("content")
     r = layouts.parsed(content, layouts.TERMS_META, options={0: 3, 1: layouts.DOCS_ONLY, 2: layouts.DOCS_ONLY}).select("record.block_size", F.explode("record.fields").alias("f"))
     return r.select(F.decode("f.root_code", "UTF-8").alias("field"), *[F.col(f"f.{c}").alias(c) for c in ("num_terms", "sum_total_term_freq", "sum_doc_freq", "doc_count", "min_term", "max_term")], "block_size", F.col("f.fst.header.name").alias("fst_name"), F.hex("f.fst.empty_output").alias("empty_output"))
 
 
-@query("""SELECT n_nationkey::BIGINT AS number, n_name AS segment, r_regionkey::BIGINT AS generation, (SELECT count(*) FROM nation x WHERE x.n_regionkey = r_regionkey) AS segments, [r_name] AS updates, n_name || '_Lucene84_0.tim' AS terms_file
+@query(f"""SELECT n_nationkey::BIGINT AS number, n_name AS segment, r_regionkey::BIGINT AS generation, (SELECT count(*) FROM nation x WHERE x.n_regionkey = r_regionkey) AS segments, [r_name] AS updates, n_name || '_{layouts.FILE_SUFFIX}.tim' AS terms_file
 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = (SELECT max(r_regionkey) FROM region)""", lists=("updates",))
 def latest_commit(spark, d):
     """A commit of each region's nations as its segments; all segments of the newest one."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     gen = F.lit(-1).cast("long")
     update = F.array(F.struct(F.col("n_nationkey").cast("long").alias("number"), F.array("r_name").alias("files")))
-    segment = F.struct(F.col("n_name").alias("name"), F.encode(F.lit("0123456789ABCDEF"), "UTF-8").alias("object_id"), F.lit("Lucene84").alias("codec"), gen.alias("deletion_gen"), F.lit(0).cast("long").alias("deletions"), gen.alias("field_infos_gen"), gen.alias("doc_values_gen"), F.lit(0).cast("long").alias("soft_deletions"), F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.lit("FEDCBA9876543210"), "UTF-8")).alias("commit_id"), F.array("n_name").alias("field_infos_files"), update.alias("doc_values_updates"))
+    segment = F.struct(F.col("n_name").alias("name"), F.encode(F.lit("0123456789ABCDEF"), "UTF-8").alias("object_id"), F.lit("codec").alias("codec"), gen.alias("deletion_gen"), F.lit(0).cast("long").alias("deletions"), gen.alias("field_infos_gen"), gen.alias("doc_values_gen"), F.lit(0).cast("long").alias("soft_deletions"), F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.lit("FEDCBA9876543210"), "UTF-8")).alias("commit_id"), F.array("n_name").alias("field_infos_files"), update.alias("doc_values_updates"))
     c = n.groupBy("r_regionkey").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
     version = _version(F.lit(8), F.lit(4), F.lit(1))
     value = F.struct(_header(F.lit("segments"), F.lit(10)).alias("header"), version.alias("version"), F.lit(8).cast("long").alias("created_major"), F.col("r_regionkey").cast("long").alias("commit_version"), F.lit(40).cast("long").alias("name_counter"), F.size("segments").cast("long").alias("segment_count"), version.alias("min_version"), "segments", _pairs(by=F.lit("test")).alias("user_data"), F.expr(_FOOTER).alias("footer"))

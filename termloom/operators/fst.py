@@ -43,9 +43,10 @@ class Strings:
 
 
 def potentials(entries: DataFrame, algebra=Numbers) -> DataFrame:
-    """prefix, potential. entries: unique (term, output)."""
-    p = prefixes(entries, "term").groupBy("prefix").agg(F.min("output").alias("low"), F.max("output").alias("high"))
-    return p.select("prefix", algebra.common(F.col("low"), F.col("high")).alias("potential"))
+    """prefix, potential, whole (the prefix's own output; null where no key ends). entries: unique (term, output)."""
+    own = F.when(F.col("depth") == F.length("term"), F.col("output"))
+    p = prefixes(entries, "term").groupBy("prefix").agg(F.min("output").alias("low"), F.max("output").alias("high"), F.max(own).alias("whole"))
+    return p.select("prefix", algebra.common(F.col("low"), F.col("high")).alias("potential"), "whole")
 
 
 def arcs(entries: DataFrame, algebra=Numbers) -> DataFrame:
@@ -53,9 +54,9 @@ def arcs(entries: DataFrame, algebra=Numbers) -> DataFrame:
 
     An empty key is the final output of a virtual arc to the root, without node and label."""
     pot = potentials(entries, algebra)
-    child = pot.select("prefix", F.left("prefix", F.length("prefix") - 1).alias("node"), F.right("prefix", F.lit(1)).alias("label"), "potential")
+    child = pot.select("prefix", F.left("prefix", F.length("prefix") - 1).alias("node"), F.right("prefix", F.lit(1)).alias("label"), "potential", "whole")
     parent = pot.select(F.col("prefix").alias("node"), F.col("potential").alias("above"))
-    out = child.join(parent, "node", "left").join(entries.select(F.col("term").alias("prefix"), F.col("output").alias("whole")), "prefix", "left")
+    out = child.join(parent, "node", "left")
     out = out.select("node", "label", F.col("prefix").alias("target"), algebra.less(F.col("potential"), F.coalesce("above", F.lit(algebra.empty))).alias("output"), algebra.less(F.col("whole"), F.col("potential")).alias("final_output"))
     nothing = F.lit(None).cast("string")
     root = entries.filter("term = ''").select(nothing.alias("node"), nothing.alias("label"), F.col("term").alias("target"), F.lit(algebra.empty).cast(entries.schema["output"].dataType).alias("output"), F.col("output").alias("final_output"))
@@ -72,7 +73,7 @@ def match_path(queries: DataFrame, entries: DataFrame, algebra=Numbers) -> DataF
     """The longest path of each query, whether or not a key ends there: its length and the outputs on it with the last arc's final output.
 
     A path that goes nowhere has the empty key's output, if there is one."""
-    pot = potentials(entries, algebra).join(entries.select(F.col("term").alias("prefix"), F.col("output").alias("whole")), "prefix", "left")
+    pot = potentials(entries, algebra)
     # Arc outputs up to a node add up to its potential, and a final output completes them to the key's own.
     node = pot.select("prefix", F.coalesce("whole", "potential").alias("value"))
     hit = prefixes(queries, "query").join(node, "prefix").groupBy("query").agg(F.max(F.struct("depth", "value")).alias("m"))

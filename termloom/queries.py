@@ -198,7 +198,7 @@ FROM pot p LEFT JOIN pot q ON q.prefix = p.above LEFT JOIN td ON td.term = p.pre
 
 @query(f"{_ARCS} SELECT * FROM arc")
 def fst_int_outputs(spark, d):
-    return fst.arcs(_entries(spark, d))
+    return fst.arcs(checkpoint(_entries(spark, d), "entries"))
 
 
 _SLCP = "list_max(list_filter(range(least(length(lo), length(hi)) + 1), lambda i: left(lo, i) = left(hi, i)))::INT"
@@ -209,32 +209,39 @@ lh AS MATERIALIZED (SELECT left(term, depth::INT) AS prefix, min(output) AS lo,
 SELECT p.above AS node, right(p.prefix, 1) AS label, p.prefix AS target, substr(p.potential, length(coalesce(q.potential, ''))::INT + 1) AS output, substr(e.output, length(p.potential)::INT + 1) AS final_output
 FROM pot p LEFT JOIN pot q ON q.prefix = p.above LEFT JOIN e ON e.term = p.prefix""")
 def fst_string_outputs(spark, d):
-    return fst.arcs(_dict(spark, d).select("term", F.concat(F.lit("s"), F.col("total_term_freq").cast("string")).alias("output")), fst.Strings)
+    e = _dict(spark, d).select("term", F.concat(F.lit("s"), F.col("total_term_freq").cast("string")).alias("output"))
+    return fst.arcs(checkpoint(e, "entries"), fst.Strings)
 
 
 _Q = "q AS (SELECT DISTINCT lower(replace(p_name, ' ', '')) AS query FROM part UNION SELECT term || 'x' FROM td WHERE doc_freq = 2)"
 
 
-def _queries(spark, d):
+def _queries(spark, d, dictionary):
     part = table(spark, d, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("query"))
-    return part.union(_dict(spark, d).filter("doc_freq = 2").select(F.concat("term", F.lit("x")))).distinct()
+    return part.union(dictionary.filter("doc_freq = 2").select(F.concat("term", F.lit("x")))).distinct()
+
+
+def queries_and_entries(spark, d):
+    """Queries, and keys with a numeric output, from one dictionary that is built once."""
+    dictionary = checkpoint(_dict(spark, d), "dictionary")
+    return _queries(spark, d, dictionary), dictionary.select("term", F.col("total_term_freq").alias("output"))
 
 
 @query(f"WITH {TOK}, {_Q} SELECT query, term IS NOT NULL AS accepted, total_term_freq AS output FROM q LEFT JOIN td ON td.term = q.query")
 def fst_accept(spark, d):
-    return fst.accept(_queries(spark, d), _entries(spark, d))
+    return fst.accept(*queries_and_entries(spark, d))
 
 
 @query(f"""WITH {_PRE}, {_Q}, x AS (SELECT query, unnest(range(1, length(query) + 1)) AS depth FROM q), h AS (SELECT x.query, x.depth, coalesce(td.total_term_freq, pot.potential) AS v FROM x JOIN pot ON pot.prefix = left(x.query, x.depth::INT) LEFT JOIN td ON td.term = pot.prefix)
 SELECT q.query, coalesce(max(h.depth), 0)::BIGINT AS path_length, coalesce(arg_max(h.v, h.depth), 0)::BIGINT AS output FROM q LEFT JOIN h USING (query) GROUP BY q.query""")
 def fst_match_path(spark, d):
-    return fst.match_path(_queries(spark, d), _entries(spark, d))
+    return fst.match_path(*queries_and_entries(spark, d))
 
 
 @query(f"""WITH {TOK}, {_Q}, x AS (SELECT query, unnest(range(1, length(query) + 1)) AS depth FROM q), h AS (SELECT x.query, x.depth, td.term, td.total_term_freq AS v FROM x JOIN td ON td.term = left(x.query, x.depth::INT))
 SELECT q.query, arg_max(h.term, h.depth) AS match, arg_max(h.v, h.depth)::BIGINT AS output FROM q LEFT JOIN h USING (query) GROUP BY q.query""")
 def fst_match_key(spark, d):
-    return lookup.match_key(_queries(spark, d), _entries(spark, d))
+    return lookup.match_key(*queries_and_entries(spark, d))
 
 
 @query(f"""WITH {TOK}, pre AS (SELECT term, total_term_freq AS output, unnest(range(0, length(term) + 1)) AS depth FROM td),
@@ -248,7 +255,7 @@ def fst_minimal_states(spark, d):
 
 @query(f"""{_ARCS} SELECT '"' || node || '" -> "' || target || '" [label="' || label || '/' || output || '"' || CASE WHEN final_output IS NOT NULL THEN ' peripheries=2' ELSE '' END || ']' AS line FROM arc""")
 def fst_dot(spark, d):
-    return fst.dot_lines(fst.arcs(_entries(spark, d)))
+    return fst.dot_lines(fst.arcs(checkpoint(_entries(spark, d), "entries")))
 
 
 _N = "n AS (SELECT o_orderkey AS k, (o_orderkey * o_orderkey * 31 % 2147483648)::BIGINT AS n FROM orders)"
