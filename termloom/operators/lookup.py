@@ -1,4 +1,8 @@
-"""Keyed lookups: exact terms, floor blocks, longest prefixes."""
+"""Keyed lookups: exact terms, floor blocks, longest prefixes.
+
+Defined results: a null key is found nowhere and stays as a row; repeated keys are answered each (by ``floor_lookup``
+once); an empty dictionary finds nothing; targets of fields without bounds go.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ def seek_exact(targets: DataFrame, meta: DataFrame, dictionary: DataFrame) -> Da
     hit = dictionary.select(F.col("field").alias("f"), "term", "doc_freq", "total_term_freq", "singleton_doc")
     inside = t["target"].between(t["min_term"], t["max_term"])
     out = t.join(hit, (t["field"] == hit["f"]) & (t["target"] == hit["term"]) & inside, "left")
-    return out.select("field", "target", inside.alias("in_range"), F.col("term").isNotNull().alias("found"), "doc_freq", "total_term_freq", "singleton_doc")
+    return out.select("field", "target", F.coalesce(inside, F.lit(False)).alias("in_range"), F.col("term").isNotNull().alias("found"), "doc_freq", "total_term_freq", "singleton_doc")
 
 
 def floor_blocks(dictionary: DataFrame, label_length: int = 2) -> DataFrame:

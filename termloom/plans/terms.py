@@ -1,4 +1,8 @@
-"""Logical tables of an inverted index, derived from ordinary DataFrames."""
+"""Logical tables of an inverted index, derived from ordinary DataFrames.
+
+Defined results: a null or empty text has no terms; a null id is one document; rows that share an id are one document;
+null values of other fields are no terms; an empty table gives no rows; columns that are not named here are not read.
+"""
 
 from __future__ import annotations
 

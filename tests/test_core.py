@@ -284,6 +284,20 @@ def test_arcs_sum_to_outputs(spark):
     assert all(x.output >= 0 for x in a)
 
 
+def test_lookups_of_nulls_and_nothing(spark):
+    d = spark.createDataFrame([("f", "a", 1, 2, 7)], "field string, term string, doc_freq long, total_term_freq long, singleton_doc long")
+    meta = spark.createDataFrame([("f", "a", "b")], "field string, min_term string, max_term string")
+    t = spark.createDataFrame([("f", None), ("f", "a"), ("f", "a"), ("f", "z"), ("g", "a"), (None, "a")], "field string, target string")
+    got = sorted(str((r.target, r.in_range, r.found, r.singleton_doc)) for r in lookup.seek_exact(t, meta, d).collect())
+    assert got == ["('a', True, True, 7)", "('a', True, True, 7)", "('z', False, False, None)", "(None, False, False, None)"]
+    assert [r.found for r in lookup.seek_exact(t.limit(2), meta, d.limit(0)).collect()] == [False, False]
+    e = spark.createDataFrame([("a", 1)], "term string, output long")
+    q_ = spark.createDataFrame([(None,), ("",), ("ab",), ("ab",)], "query string")
+    for entries, hits in ((e, 2), (e.limit(0), 0)):
+        assert [sum(r.match is not None for r in lookup.match_key(q_, entries).collect()), lookup.match_key(q_, entries).count()] == [hits, 4]
+        assert sum(r.path_length for r in fst.match_path(q_, entries).collect()) == hits and fst.accept(q_, entries).filter("accepted").count() == 0
+
+
 def test_floor_lookup(spark):
     b = spark.createDataFrame([("p", "d", 1), ("p", "m", 2), ("p", "t", 3)], "prefix string, label string, entries long")
     t = spark.createDataFrame([("p", "a"), ("p", "m"), ("p", "s"), ("p", "z")], "prefix string, target_label string")
