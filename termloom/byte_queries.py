@@ -40,6 +40,17 @@ def fst_root_arcs(spark, d):
     return byte_fst.root_arcs(byte_fst.build(e, "brand"), "brand")
 
 
+@query("""WITH w AS (SELECT p_brand AS brand, p_name AS term, min(p_partkey) AS output FROM part GROUP BY ALL), pre AS (SELECT *, unnest(range(0, length(term) + 1)) AS depth FROM w),
+pot AS (SELECT brand, left(term, depth::INT) AS prefix, min(output) AS low FROM pre GROUP BY ALL),
+sig AS (SELECT pre.brand, prefix, string_agg(substr(term, depth::INT + 1) || ':' || (output - low), ',' ORDER BY term) AS signature, count(DISTINCT substr(term, depth::INT + 1, 1)) AS labels FROM pre JOIN pot ON pot.brand = pre.brand AND prefix = left(term, depth::INT) WHERE depth < length(term) GROUP BY ALL)
+SELECT brand, count(*) AS nodes, sum(labels)::BIGINT AS arcs FROM (SELECT DISTINCT brand, signature, labels FROM sig) GROUP BY brand""")
+def fst_bytes_dot(spark, d):
+    """Nodes and arcs in the graphs of each brand's transducer, told from their lines."""
+    e = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("output"))
+    lines = byte_fst.dot_lines(byte_fst.build(e, "brand"), "brand")
+    return lines.groupBy("brand").agg(F.countDistinct("node").alias("nodes"), F.countDistinct("line").alias("arcs"))
+
+
 def _header(name, version, ident="0123456789ABCDEF", suffix="s0"):
     return F.struct(F.lit(layouts.MAGIC).cast("long").alias("magic"), name.alias("name"), version.cast("long").alias("version"), F.encode(F.lit(ident), "UTF-8").alias("object_id"), F.lit(suffix).alias("suffix"))
 

@@ -202,6 +202,17 @@ class Reader:
             return None
         return next((a for a in self.arcs(node) if a.label == label), None)
 
+    def every(self) -> Iterator[tuple[int, Arc]]:
+        """(node, arc) of all nodes that the root reaches, each node once."""
+        todo, seen = [self.start], {self.start}
+        while todo:
+            node = todo.pop()
+            for arc in list(self.arcs(node)):
+                yield node, arc
+                if arc.target > 0 and arc.target not in seen:
+                    seen.add(arc.target)
+                    todo.append(arc.target)
+
     def path(self, key: bytes) -> list[Arc]:
         """The arcs from the root's virtual one on, as far as the key goes."""
         out = [self.first_arc()]
@@ -267,6 +278,21 @@ def root_arcs(transducers: DataFrame, by: str) -> DataFrame:
     return transducers.mapInArrow(batches, f"{by} {transducers.schema[by].dataType.simpleString()}, label long, output long, final_output long")
 
 
+def dot_lines(transducers: DataFrame, by: str) -> DataFrame:
+    """by, node, line: a line of a DOT graph for every arc of every node."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for k, data, start in zip(*(b.column(n).to_pylist() for n in (by, "content", "start_node")), strict=True):
+                for node, a in Reader(data, start).every():
+                    mark = f"/{a.final_output}" if a.final else ""
+                    rows.append((k, node, f'"{node}" -> "{a.target}" [label="{a.label}/{a.output}{mark}"]'))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((b.schema.field(by).type, pa.int64(), pa.string()))], names=[by, "node", "line"])
+
+    return transducers.mapInArrow(batches, f"{by} {transducers.schema[by].dataType.simpleString()}, node long, line string")
+
+
 def sharded(df: DataFrame, column: str, shards: int) -> DataFrame:
     """df with a shard, told by a hash of the column."""
     return df.withColumn("shard", F.pmod(F.xxhash64(column), F.lit(shards)))
