@@ -128,8 +128,10 @@ def test_blocks_and_pointers():
     assert [blocks.find_block(raw, ord(c)) for c in "adlmsz"] == [100, 150, 150, None, None, 400] and blocks.find_block(blocks.pointer_bytes([blocks.Floor(None, 3, False)]), 5) is None
 
 
-def test_block_seek_with_odd_terms(spark):
-    """Short, empty and non-ASCII terms, targets outside the bounds, null and repeated targets, no dictionary at all."""
+@pytest.mark.parametrize("most", [block_seek.MOST_INDEX_BYTES, -1])
+def test_block_seek_with_odd_terms(spark, monkeypatch, most):
+    """Short, empty and non-ASCII terms, targets outside the bounds, null and repeated targets, no dictionary at all; transducers sent along and joined."""
+    monkeypatch.setattr(block_seek, "MOST_INDEX_BYTES", most)
     words = ["", "a", "ab", "abc", "abd", "é", "éa", "éab", "ß" * 300, "b" * 200]
     rows = [("f", w, 1 + k % 3, 2 + k, k if k % 3 == 0 else None) for k, w in enumerate(words)]
     d = spark.createDataFrame(rows, "field string, term string, doc_freq long, total_term_freq long, singleton_doc long")
