@@ -105,23 +105,27 @@ def resampled(x: np.ndarray, length: np.ndarray, up: int = UP, down: int = DOWN)
     taps = kernel(up, down)
     half = len(taps) // 2
     count = -(-length * up // down)
-    # Every signal has silence before and behind it, as wide as the kernel reaches, and starts at a multiple of down.
+    # Every signal has silence before and behind it, as wide as the kernel reaches, and starts at a multiple of down behind
+    # the first, so that one grid serves them all.
     gap = -(-half // up) + 1
     room = -(-(length + 2 * gap) // down) * down
-    start = np.cumsum(room) - room + gap
-    padded_ = np.zeros(int(room.sum()) + 2 * gap + down, np.float64)
-    padded_[_spread(start, length)] = x
-    # The place of each sample on the grid of up times the rate.
-    at = _spread(np.zeros(len(length), np.int64), count) * down
-    first = np.repeat(start, count)
-    out = np.zeros(int(count.sum()))
-    for phase in range(up):
-        mine = np.flatnonzero(at % up == phase)
-        base = first[mine] + at[mine] // up
+    grid = (np.cumsum(room) - room) // down
+    total = int(room.sum()) // down
+    silent = np.zeros(total * down + 4 * gap + (up + 1) * down, np.float64)
+    silent[_spread(2 * gap + grid * down, length)] = x
+    out = np.zeros(int(count.sum()), np.int16)
+    first = np.cumsum(count) - count
+    for r in range(up):
+        # Samples r, r + up, ... lie at equal places between two of the signal's: they share their taps.
+        shift, phase = divmod(r * down, up)
+        y = np.zeros(total)
         for k in range(-((half + phase) // up), (half - phase) // up + 1):
-            tap = taps[half - (k * up + phase)] if abs(k * up + phase) <= half else 0.0
-            out[mine] += tap * padded_[base - k]
-    return np.clip(np.rint(out), -32768, 32767).astype(np.int16), count
+            at = 2 * gap + shift - k
+            y += taps[half - (k * up + phase)] * silent[at : at + total * down : down]
+        mine = np.maximum(-(-(count - r) // up), 0)
+        step = _spread(np.zeros(len(mine), np.int64), mine)
+        out[np.repeat(first, mine) + r + up * step] = np.clip(np.rint(y[np.repeat(grid, mine) + step]), -32768, 32767).astype(np.int16)
+    return out, count
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
