@@ -403,7 +403,7 @@ def _linked(docs: DataFrame, ngram: int, percent: int, limit: int) -> DataFrame:
     # Whether a document's id and its text's hash don't name one row only.
     repeated = not of.filter("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("copies")).filter("copies > 1").isEmpty()
     copies = stored(of.filter("row != id").select("row"), "copies")
-    members = rows.filter("n > 0").join(copies, "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
+    members = rows.filter("n > 0").join(small(copies), "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
     members = members.select("key", "id", F.expr("shiftleft(n, 32) | pos").alias("size"))
     ends = stored(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
     shared = stored(members.join(ends, "key").select("key", "id", "size", "low"), "shared")
