@@ -255,7 +255,7 @@ def positions(spark, d):
 @query(f"WITH {TOK} SELECT term, list(doc ORDER BY doc) AS docs, max(doc) AS last FROM post WHERE term IN (SELECT term FROM td WHERE doc_freq BETWEEN 3 AND 200) GROUP BY term", lists=("docs",))
 def delta_decode(spark, d):
     """Differences of a term's documents summed up again; lists of 3 to 200."""
-    p = terms.doc_deltas(terms.postings(terms.tokens(table(spark, d, "documents"))))
+    p = terms.doc_deltas(checkpoint(terms.postings(terms.tokens(table(spark, d, "documents"))), "postings"))
     wanted = _dict(spark, d).filter("doc_freq between 3 and 200").select("term")
     g = p.join(wanted, "term", "left_semi").groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "delta"))), lambda s: s["delta"]).alias("v"))
     docs = lists.running_sums(F.col("v"), bits.long(0))

@@ -7,6 +7,7 @@ bridge a gap of 255 or more between exceptions count as exceptions.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -83,78 +84,90 @@ def lz4_hash(words: np.ndarray, bits: int = 16) -> np.ndarray:
     return (words * np.uint64(HASH_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
 
 
-def match_length(data: bytes, a: int, b: int, most: int) -> int:
-    """How many bytes from a and from b on are equal."""
-    n, step = 0, 16
-    while n < most:
-        k = min(step, most - n)
-        if data[a + n : a + n + k] == data[b + n : b + n + k]:
-            n, step = n + k, step * 2
-        elif k == 1:
-            break
-        else:
-            step, most = max(1, k // 2), n + k
-    return n
-
-
 def _length(n: int) -> bytes:
     """What a length has beyond the nibble's 15."""
     return b"" if n < 15 else b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255])
 
 
+def matches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a match of the four bytes there starts, how far back it lies, and where it ends.
+
+    The last place before with the same hash is tried, found for all places at once. A match goes on as far as
+    the places behind it lead equally far back."""
+    end = len(data) - LAST_START
+    none = np.zeros(0, np.int64)
+    if end < 0:
+        return none, none, none
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    words = b[:-3] << np.uint64(24) | b[1:-2] << np.uint64(16) | b[2:-1] << np.uint64(8) | b[3:]
+    hashed = lz4_hash(words)
+    order = np.argsort(hashed, kind="stable")
+    before = np.full(len(words), -1)
+    same = hashed[order[1:]] == hashed[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    places = np.arange(len(words))
+    good = (before >= 0) & (places - before <= FARTHEST) & (words == words[before])
+    at = np.flatnonzero(good)
+    back = at - before[at]
+    # The last place of each run of neighbours that lead equally far back.
+    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(back) != 0))
+    last = np.append(breaks, len(at) - 1)[np.searchsorted(breaks, np.arange(len(at)), "left")] if len(at) else none
+    stop = np.minimum(at[last] + MIN_MATCH, len(data) - LAST_LITERALS)
+    some = (at <= end) & (stop - at >= MIN_MATCH)
+    return at[some], back[some], stop[some]
+
+
 def lz4_compress(data: bytes) -> bytes:
-    """An LZ4 block: the last place before with the same hash of four bytes is tried, found for all places at once."""
-    size, out, done, at = len(data), bytearray(), 0, 0
-    end = size - LAST_START
-    if end >= 0:
-        b = np.frombuffer(data, np.uint8).astype(np.uint64)
-        words = b[:-3] << np.uint64(24) | b[1:-2] << np.uint64(16) | b[2:-1] << np.uint64(8) | b[3:]
-        hashed = lz4_hash(words)
-        order = np.argsort(hashed, kind="stable")
-        before = np.full(len(words), -1)
-        same = hashed[order[1:]] == hashed[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
-        places = np.arange(len(words))
-        good = (before >= 0) & (places - before <= FARTHEST) & (words == words[before]) & (places <= end)
-        starts, sources = np.flatnonzero(good).tolist(), before.tolist()
-        for at in starts:
-            if at < done:
-                continue
-            source = sources[at]
-            n = match_length(data, source, at, size - LAST_LITERALS - at)
-            if n < MIN_MATCH:
-                continue
-            literals, back = at - done, at - source
-            out.append(min(literals, 15) << 4 | min(n - MIN_MATCH, 15))
-            out += _length(literals) + data[done:at] + back.to_bytes(2, "little") + _length(n - MIN_MATCH)
-            done = at + n
-    literals = size - done
+    """An LZ4 block: from left to right, each match that starts behind the one before."""
+    out, done = bytearray(), 0
+    starts, backs, stops = (x.tolist() for x in matches(data))
+    k = 0
+    while k < len(starts):
+        at, stop = starts[k], stops[k]
+        literals, n = at - done, stop - at - MIN_MATCH
+        if literals < 15 and n < 15:
+            out.append(literals << 4 | n)
+            out += data[done:at]
+            out += backs[k].to_bytes(2, "little")
+        else:
+            out.append(min(literals, 15) << 4 | min(n, 15))
+            out += _length(literals) + data[done:at] + backs[k].to_bytes(2, "little") + _length(n)
+        done = stop
+        k = bisect.bisect_left(starts, done, k + 1)
+    literals = len(data) - done
     out.append(min(literals, 15) << 4)
     return bytes(out + _length(literals) + data[done:])
 
 
 def lz4_decompress(c: Cursor, length: int) -> bytes:
     """An LZ4 block of so many bytes."""
-    out = bytearray()
-
-    def rest(nibble: int) -> int:
-        n = nibble
-        while nibble == 15:
-            more = c.byte()
-            n += more
-            if more < 255:
-                break
-        return n
-
+    out, data, at = bytearray(), bytes(c.data), c.at
     while True:
-        token = c.byte()
-        out += c.take(rest(token >> 4))
+        token = data[at]
+        at += 1
+        n = token >> 4
+        if n == 15:
+            while data[at] == 255:
+                n, at = n + 255, at + 1
+            n, at = n + data[at], at + 1
+        out += data[at : at + n]
+        at += n
         if len(out) >= length:
             break
-        back = c.fixed(2, "little", False)
-        n = rest(token & 15) + MIN_MATCH
-        piece = out[-back:]
-        out += (piece * (n // back + 1))[:n]
+        back = data[at] | data[at + 1] << 8
+        at, n = at + 2, token & 15
+        if n == 15:
+            while data[at] == 255:
+                n, at = n + 255, at + 1
+            n, at = n + data[at], at + 1
+        n += MIN_MATCH
+        if back >= n:
+            start = len(out) - back
+            out += out[start : start + n]
+        else:  # it reads what it writes
+            piece = out[-back:]
+            out += (piece * (n // back + 1))[:n]
+    c.at = at
     if len(out) != length:
         raise ValueError("wrong length")
     return bytes(out)
@@ -304,6 +317,10 @@ def round_trips(df: DataFrame, column: str) -> DataFrame:
             rest = [b.column(n) for n in b.schema.names if n != column]
             yield pa.RecordBatch.from_arrays([*rest, *(pa.array(made[n], to_arrow_type(k)) for n, k in own)], names=[*(n for n in b.schema.names if n != column), *made])
 
+    # A small table may lie in fewer partitions than there are cores; a large one is read where it lies.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.mapInArrow(batches, T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(n, k) for n, k in own]))
 
 

@@ -133,7 +133,7 @@ def postings(spark, d):
 
 @query(f"WITH {TOK} SELECT term, doc, doc - lag(doc, 1, 0) OVER (PARTITION BY term ORDER BY doc) AS delta, row_number() OVER (PARTITION BY term ORDER BY doc) - 1 AS rank FROM post")
 def postings_delta(spark, d):
-    return terms.doc_deltas(_post(spark, d))
+    return terms.doc_deltas(checkpoint(_post(spark, d), "postings"))
 
 
 @query(f"WITH {TOK} SELECT left(term, 1) AS block, term, coalesce(sum(doc_freq) OVER (PARTITION BY left(term, 1) ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM td")
@@ -146,7 +146,7 @@ _BLOCKS = f"{TOK}, de AS (SELECT term, doc - lag(doc, 1, 0) OVER (PARTITION BY t
 
 @query(f"WITH {_BLOCKS} SELECT term, block, count(*) AS entries, max(delta) AS highest, CASE WHEN max(delta) = 0 THEN 0 ELSE length(ltrim(bin(max(delta)), '0')) END AS width, min(delta) = max(delta) AS all_equal FROM de GROUP BY term, block")
 def block128_width(spark, d):
-    g = terms.doc_deltas(_post(spark, d)).withColumn("block", F.expr("rank div 128"))
+    g = terms.doc_deltas(checkpoint(_post(spark, d), "postings")).withColumn("block", F.expr("rank div 128"))
     return g.groupBy("term", "block").agg(F.count("*").alias("entries"), F.max("delta").alias("highest"), bits.msb(F.max("delta")).alias("width"), (F.min("delta") == F.max("delta")).alias("all_equal"))
 
 
@@ -155,7 +155,7 @@ w AS (SELECT term, block, greatest(1, max(CASE WHEN k = 8 THEN length(ltrim(bin(
 SELECT w.term, w.block, w.width::BIGINT AS width, count(*) FILTER (WHERE delta >= (1::BIGINT << w.width::INT)) AS exceptions FROM w JOIN r USING (term, block) GROUP BY ALL""")
 def pfor_exceptions(spark, d):
     """Width and number of exceptions of full blocks: the eighth largest sets the width, the largest may stand out by eight bits."""
-    g = terms.doc_deltas(_post(spark, d)).groupBy("term", F.expr("rank div 128").alias("block")).agg(F.sort_array(F.collect_list("delta"), asc=False).alias("v")).filter(F.size("v") == terms.BLOCK)
+    g = terms.doc_deltas(checkpoint(_post(spark, d), "postings")).groupBy("term", F.expr("rank div 128").alias("block")).agg(F.sort_array(F.collect_list("delta"), asc=False).alias("v")).filter(F.size("v") == terms.BLOCK)
     width = F.greatest(bits.long(1), bits.msb(F.col("v")[7]), bits.msb(F.col("v")[0]) - 8)
     g = g.withColumn("width", width)
     return g.select("term", "block", "width", F.size(F.filter("v", lambda x: F.call_function("shiftright", x, F.col("width").cast("int")) > 0)).cast("long").alias("exceptions"))
