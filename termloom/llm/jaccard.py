@@ -10,9 +10,11 @@ all shingles they share one of their first n - ceil(percent * n / 100) + 1. The
 frequent, by a table of counts over all documents, so that passages which many documents quote open no
 regions. The sets that share such a key are its region, and the least of them its pivot.
 
-Every set is compared with the pivots of its regions, where sizes and the key's places let a link exist. A region
-whose other sets are of one component then is settled; what is left (regions with the same sets count once) falls
-apart into connected regions. One that a task can hold, by the bytes of its sets, is joined there: pivots are
+Every set is compared with the pivots of its regions, where sizes and the key's places let a link exist and the
+two sets have as many keys in common as a link needs: texts that share a shingle by chance become more with the input,
+and their keys tell them apart before their sets are read. A region whose other sets are of one component then is
+settled; in what is left (regions with the same sets count once) few sets are compared pair by pair, by their keys
+first, and regions of more sets fall apart into connected regions. One that a task can hold, by the bytes of its sets, is joined there: pivots are
 chosen farthest-first, and only pairs inside the windows that the triangle inequality leaves open,
 |d(x, p) - d(y, p)| <= bound for all pivots p, and with a rare shingle in common, are compared. A larger one is cut
 into Voronoi cells of new pivots; a set x of cell i is also put into cell j where d(x, pj) - d(x, pi) <= 2 * bound, so
@@ -81,6 +83,18 @@ class Bound:
         n, m, i, j = (F.expr(x) for x in (f"shiftright({a}, 32)", f"shiftright({b}, 32)", f"{a} & 4294967295", f"{b} & 4294967295"))
         return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * F.least(n - i, m - j) >= self.percent * (n + m))
 
+    def enough(self, a: str, b: str) -> Column:
+        """Whether sets may link with all keys that they share; a, b: structs of n and own, their shared (place, key) in order.
+
+        Up to their last common key, both lists have all that is common; behind it, and behind the end of the list that
+        ends first, there are only the rest of a's and of b's shingles.
+        """
+        common = f"array_intersect({a}.own.key, {b}.own.key)"
+        left = [f"{x}.n - 1 - element_at({x}.own.place, cast(array_position({x}.own.key, element_at({common}, -1)) as int))" for x in (a, b)]
+        unread = [f"({self.percent} * {x}.n + 99) div 100 - 1" for x in (a, b)]
+        most = f"size({common}) + least({', '.join(left)}, greatest({', '.join(unread)}))"
+        return F.expr(f"{100 + self.percent} * ({most}) >= {self.percent} * ({a}.n + {b}.n)")
+
 
 def keys_of(s: np.ndarray, bound: Bound, levels: np.ndarray) -> np.ndarray:
     """Region keys of a set of hashes: its rarest shingles, rarest first."""
@@ -288,6 +302,21 @@ def _region_edges(regions: DataFrame, bound: Bound) -> DataFrame:
     return regions.groupBy("region").applyInArrow(region, "a long, b long")
 
 
+#: Non-pivots of a region that are compared pair by pair.
+FEW = 8
+
+
+def _narrowed(pairs: DataFrame, shared: DataFrame, bound: Bound) -> DataFrame:
+    """The pairs (a, b) of ids, stored, that may link by all their keys. shared: id, key, size (n << 32 | place)."""
+    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    own = F.sort_array(F.collect_list(F.struct(F.expr("cast(size & 4294967295 as int)").alias("place"), "key"))).alias("own")
+    lists = stored(shared.join(small(ids), "id").groupBy("id").agg(F.max(F.expr("shiftright(size, 32)")).alias("n"), own), "key-lists")
+    one, two = (lists.select(F.col("id").alias(x), F.struct("n", "own").alias(f"of_{x}")) for x in "ab")
+    out = stored(pairs.join(one, "a").join(two, "b").filter(bound.enough("of_a", "of_b")).select("a", "b"), "likely")
+    discard(ids, lists)
+    return out
+
+
 #: Sets that meet one copy of their pivot.
 SLICE = 2048
 
@@ -418,17 +447,30 @@ def _linked(docs: DataFrame, ngram: int, percent: int, limit: int) -> DataFrame:
     # Every set meets the pivots of its regions.
     pivots = shared.filter("id = low").select("key", F.col("size").alias("other"))
     pairs = shared.filter("id != low").join(pivots, "key").filter(bound.possible("size", "other"))
-    pairs = stored(pairs.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    near = stored(pairs.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    pairs = _narrowed(near, shared, bound)
+    discard(near)
     sets = sets_for(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     edges = stored(_pair_edges(pairs, sets, bound), "links")
     discard(pairs)
     # What the pivots have not settled: keys with sets of several components. Keys with the same sets count once.
     roots = components(edges, "linked")
-    rest = shared.filter("id != low").select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = shared.filter("id != low").select("key", "id", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     regions = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
     regions = regions.filter("r1 < r2").groupBy("low", "n", "x1", "x2").agg(F.min("key").alias("key"))
-    opened = stored(rest.join(regions.select("key", "low"), "key").select("key", "id", "root", "low"), "opened")
-    discard(shared)
+    unsettled = stored(rest.join(regions.select("key", "low", "n"), "key").select("key", "id", "root", "low", "n", "size"), "unsettled")
+    few = unsettled.filter(F.col("n") <= FEW).select("key", "id", "root", F.expr("shiftright(size, 32)").alias("of"))
+    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "of")]) for x in "ab")
+    alike = (F.col("id_a") > F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b"))
+    near = stored(one.join(two, "key").filter(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
+    pairs = _narrowed(near, shared, bound)
+    opened = unsettled.filter(F.col("n") > FEW).select("key", "id", "root", "low")
+    discard(near, shared)
+    if not pairs.isEmpty():
+        met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = sets.unionByName(sets_for(met.join(sets.select("id"), "id", "left_anti")))
+        edges = edges.unionByName(stored(_pair_edges(pairs, sets, bound), "links"))
+        roots = components(edges, "linked")
     if not opened.isEmpty():
         ids = stored(opened.select("id", "root").distinct(), "open-sets")
         sets = sets.unionByName(sets_for(ids.select("id").join(sets.select("id"), "id", "left_anti")))

@@ -102,3 +102,18 @@ def test_hashes_do_not_depend_on_place():
     alone = [hashing.word_hashes([p])[0].tolist() for p in parts]
     assert words.tolist() == sum(alone, []) and counts.tolist() == [1, 0, 3, 1, 2]
     assert hashing.word_hashes([b"y" * 301])[0][0] != words[4]
+
+
+def test_chance_reads_no_sets(spark, monkeypatch):
+    """Texts that share a rare shingle and nothing else are told apart by their keys; links among them are still found."""
+    r, read, sets_of = random.Random(5), [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "sets_of", lambda docs, wanted, *a: (read.extend(x.id for x in wanted.select("id").collect()), sets_of(docs, wanted, *a))[1])
+    texts = [[f"c{k // 4}_{j}" for j in range(3)] + [f"u{r.randrange(10**12)}" for _ in range(100)] for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert {x.doc_id: x.component_id for x in jaccard.join(docs).collect()} == {k: k for k in range(40)}
+    assert not read
+    near = [" ".join([*w[:60], "other", *w[61:]]) for w in texts[::5]]
+    both = docs.union(spark.createDataFrame([(100 + k, t) for k, t in enumerate(near)], docs.schema)).coalesce(1)
+    got = {x.doc_id: x.component_id for x in jaccard.join(both).collect()}
+    assert got == {k: k for k in range(40)} | {100 + k: 5 * k for k in range(8)}
+    assert len(set(read)) == 16
