@@ -13,8 +13,9 @@ regions. The sets that share such a key are its region, and the least of them it
 Every set is compared with the pivots of its regions, where sizes and the key's places let a link exist and the
 two sets have as many keys in common as a link needs: texts that share a shingle by chance become more with the input,
 and their keys tell them apart before their sets are read. A region whose other sets are of one component then is
-settled; in what is left (regions with the same sets count once) few sets are compared pair by pair, by their keys
-first, and regions of more sets fall apart into connected regions. One that a task can hold, by the bytes of its sets, is joined there: pivots are
+settled; in what is left (regions with the same sets count once) the pairs of different components are told apart by
+sizes, places and keys again, and the pairs that remain, with all sets of a region of very many, make up connected
+regions: keys that texts share by chance don't tie them together. A region that a task can hold, by the bytes of its sets, is joined there: pivots are
 chosen farthest-first, and only pairs inside the windows that the triangle inequality leaves open,
 |d(x, p) - d(y, p)| <= bound for all pivots p, and with a rare shingle in common, are compared. A larger one is cut
 into Voronoi cells of new pivots; a set x of cell i is also put into cell j where d(x, pj) - d(x, pi) <= 2 * bound, so
@@ -29,6 +30,7 @@ an empty table gives no rows. Shingles are compared by 64-bit hashes, pair by pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -302,8 +304,10 @@ def _region_edges(regions: DataFrame, bound: Bound) -> DataFrame:
     return regions.groupBy("region").applyInArrow(region, "a long, b long")
 
 
-#: Non-pivots of a region that are compared pair by pair.
-FEW = 8
+#: Non-pivots of a region whose pairs are told apart by their keys; more make one connected region.
+MANY = 1024
+#: Pairs whose keys are brought together at a time: some 2 GB.
+PAIRS = 1 << 20
 
 
 def _narrowed(pairs: DataFrame, shared: DataFrame, bound: Bound) -> DataFrame:
@@ -312,8 +316,15 @@ def _narrowed(pairs: DataFrame, shared: DataFrame, bound: Bound) -> DataFrame:
     own = F.sort_array(F.collect_list(F.struct(F.expr("cast(size & 4294967295 as int)").alias("place"), "key"))).alias("own")
     lists = stored(shared.join(small(ids), "id").groupBy("id").agg(F.max(F.expr("shiftright(size, 32)")).alias("n"), own), "key-lists")
     one, two = (lists.select(F.col("id").alias(x), F.struct("n", "own").alias(f"of_{x}")) for x in "ab")
-    out = stored(pairs.join(one, "a").join(two, "b").filter(bound.enough("of_a", "of_b")).select("a", "b"), "likely")
+    turns, parts = max(1, -(-pairs.count() // PAIRS)), []
+    for k in range(turns):
+        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == k)
+        parts.append(stored(some.join(one, "a").join(two, "b").filter(bound.enough("of_a", "of_b")).select("a", "b"), "likely"))
     discard(ids, lists)
+    if turns == 1:
+        return parts[0]
+    out = stored(reduce(DataFrame.unionByName, parts), "likely")
+    discard(*parts)
     return out
 
 
@@ -453,30 +464,27 @@ def _linked(docs: DataFrame, ngram: int, percent: int, limit: int) -> DataFrame:
     sets = sets_for(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     edges = stored(_pair_edges(pairs, sets, bound), "links")
     discard(pairs)
-    # What the pivots have not settled: keys with sets of several components. Keys with the same sets count once.
+    # What the pivots have not settled: keys with sets of several components. Of keys with the same sets the first one counts.
     roots = components(edges, "linked")
     rest = shared.filter("id != low").select("key", "id", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    regions = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
-    regions = regions.filter("r1 < r2").groupBy("low", "n", "x1", "x2").agg(F.min("key").alias("key"))
+    regions = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("id").alias("low"), F.min_by("size", "id").alias("at"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
+    regions = regions.filter("r1 < r2").groupBy("low", "n", "x1", "x2").agg(F.min_by("key", "at").alias("key"))
     unsettled = stored(rest.join(regions.select("key", "low", "n"), "key").select("key", "id", "root", "low", "n", "size"), "unsettled")
-    few = unsettled.filter(F.col("n") <= FEW).select("key", "id", "root", F.expr("shiftright(size, 32)").alias("of"))
-    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "of")]) for x in "ab")
-    alike = (F.col("id_a") > F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b"))
-    near = stored(one.join(two, "key").filter(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
+    apart = unsettled.filter(F.col("n") <= MANY).select("key", "id", "root", "size")
+    one, two = (apart.select(*[F.col(c).alias(f"{c}_{x}") for c in apart.columns]) for x in "ab")
+    # Two sets meet in the first key that they share.
+    alike = (F.col("key_a") == F.col("key_b")) & (F.col("id_a") > F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & bound.possible("size_a", "size_b")
+    near = stored(one.join(two, alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
     pairs = _narrowed(near, shared, bound)
-    opened = unsettled.filter(F.col("n") > FEW).select("key", "id", "root", "low")
     discard(near, shared)
-    if not pairs.isEmpty():
-        met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = sets.unionByName(sets_for(met.join(sets.select("id"), "id", "left_anti")))
-        edges = edges.unionByName(stored(_pair_edges(pairs, sets, bound), "links"))
-        roots = components(edges, "linked")
-    if not opened.isEmpty():
-        ids = stored(opened.select("id", "root").distinct(), "open-sets")
-        sets = sets.unionByName(sets_for(ids.select("id").join(sets.select("id"), "id", "left_anti")))
-        region = components(opened.select(F.col("id").alias("a"), F.col("low").alias("b")), "region").withColumnRenamed("root", "region")
+    ties = pairs.unionByName(unsettled.filter(F.col("n") > MANY).select(F.col("id").alias("a"), F.col("low").alias("b")))
+    if not ties.isEmpty():
+        region = components(ties, "region").withColumnRenamed("root", "region")
+        met = stored(region.join(roots, "id", "left").select("region", "id", F.coalesce("root", "id").alias("root")), "open-sets")
+        sets = sets.unionByName(sets_for(met.select("id").join(sets.select("id"), "id", "left_anti")))
         sizes = of.filter("row = id").select("id", (8 * F.col("n")).alias("bytes"))
-        edges = edges.unionByName(region_links(ids.join(region, "id").join(sizes, "id"), opened, sets, bound, limit))
+        opened = unsettled.select("key", "id")
+        edges = edges.unionByName(region_links(met.join(sizes, "id").select("region", "id", "root", "bytes"), opened, sets, bound, limit))
         roots = components(edges, "linked")
     return of.join(roots, "id", "left").select("row", "doc_id", "th", "n", F.coalesce("root", "id").alias("root"))
 

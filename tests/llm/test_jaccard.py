@@ -117,3 +117,27 @@ def test_chance_reads_no_sets(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in jaccard.join(both).collect()}
     assert got == {k: k for k in range(40)} | {100 + k: 5 * k for k in range(8)}
     assert len(set(read)) == 16
+
+
+@pytest.mark.parametrize("many", [1024, 4])
+def test_chance_ties_no_regions(spark, monkeypatch, many):
+    """Phrases that many texts share by chance, and that no count tells to be frequent, tie no texts together; links among them are found."""
+    r, read, sets_of = random.Random(7), [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "frequencies", lambda docs, ngram: np.zeros(1 << 24, np.uint8))
+    monkeypatch.setattr(jaccard, "MANY", many, raising=False)
+    monkeypatch.setattr(jaccard, "PAIRS", 50, raising=False)
+    monkeypatch.setattr(jaccard, "sets_of", lambda docs, wanted, *a: (read.extend(x.id for x in wanted.select("id").collect()), sets_of(docs, wanted, *a))[1])
+    texts = [" ".join(f"p{p}a p{p}b p{p}c u{r.randrange(10**12)}" for p in r.sample(range(100), 25)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert {x.doc_id: x.component_id for x in jaccard.join(docs).collect()} == {k: k for k in range(60)}
+    # A pair may share enough leading keys by chance.
+    assert many == 4 or len(set(read)) <= 6
+    for k in range(0, 60, 4):
+        for _ in range(k % 3 + 1):
+            w = texts[k].split()
+            w[r.randrange(100)] = "other"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard.join(docs).collect()}
+    words = [t.split() for t in texts]
+    assert [got[k] for k in range(len(texts))] == brute([{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words], 90)
