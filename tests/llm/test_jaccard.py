@@ -125,7 +125,7 @@ def test_chance_ties_no_regions(spark, monkeypatch, many):
     r, read, sets_of = random.Random(7), [], jaccard.sets_of
     monkeypatch.setattr(jaccard, "frequencies", lambda docs, ngram: np.zeros(1 << 24, np.uint8))
     monkeypatch.setattr(jaccard, "MANY", many, raising=False)
-    monkeypatch.setattr(jaccard, "PAIRS", 50, raising=False)
+    monkeypatch.setattr(jaccard, "PAIRS", 200, raising=False)
     monkeypatch.setattr(jaccard, "sets_of", lambda docs, wanted, *a: (read.extend(x.id for x in wanted.select("id").collect()), sets_of(docs, wanted, *a))[1])
     texts = [" ".join(f"p{p}a p{p}b p{p}c u{r.randrange(10**12)}" for p in r.sample(range(100), 25)) for _ in range(60)]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
